@@ -6,19 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .near_dup import near_duplicates
+from . import bpe, decontaminate, near_dup, quality, token_store, warc
+from .common import fresh_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(_read(spark, sf_dir, "pages"), path, least_bytes=100)
+    return warc.read_pages(spark, path).drop("url")
+
+
+def op3_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_store.write_tokens(_read(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=0)
+    return token_store.checksums(token_store.read_tokens(spark, path))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op6_token_parquet, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
