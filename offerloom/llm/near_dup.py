@@ -10,9 +10,11 @@
    m - 1 candidates and not m * (m - 1) / 2.
 4. Candidates are confirmed on full shingle sets; confirmed links give
    components.
-5. A bucket whose members are still in different components takes more centres
-   (8, then 64, ...), each against the members of other components only, until
-   nothing is left to compare. So no pair that shares a bucket is lost.
+5. In a bucket whose members are still in different components, those outside
+   the centre's component make a star of their own. What is then still apart
+   from the centre is compared with the members of other components: only there,
+   once for each pair, and only where sizes and one-bit sketches leave the
+   similarity possible. So no pair that shares a bucket is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from .shingles import distinct_shingles, mix
 #: probability (1 - 0.8 ** 5) ** 32 = 3e-6, one at 0.9 with 2e-13.
 BANDS, BAND_ROWS = 32, 5
 BINS = BANDS * BAND_ROWS
+#: Standard deviations below its mean at which the match of two one-bit sketches
+#: (Li and Koenig, 2010) rules a pair out.
+SIGMAS = 5.5
 
 _PROBES = np.random.default_rng(5).integers(0, BINS, (4096, BINS))
 
@@ -49,8 +54,8 @@ def _densify(minimum: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of band hashes for each non-empty set of sorted shingle hashes."""
+def band_hashes(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each non-empty set: its band hashes, and one bit of each bin in 3 words."""
     rows = []
     for s, e in zip(offsets[:-1], offsets[1:]):
         if s == e:
@@ -63,17 +68,20 @@ def band_hashes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         filled[bins] = True
         rows.append(minimum if filled.all() else _densify(minimum, filled))
     if not rows:
-        return np.zeros((0, BANDS), np.uint64)
-    out = np.array(rows).reshape(-1, BANDS, BAND_ROWS)
+        return np.zeros((0, BANDS), np.uint64), np.zeros((0, 3), np.int64)
+    out = np.array(rows)
+    bits = np.zeros((len(rows), 24), np.uint8)
+    bits[:, : BINS // 8] = np.packbits((out & np.uint64(1)).astype(bool), axis=1)
+    out = out.reshape(-1, BANDS, BAND_ROWS)
     with np.errstate(over="ignore"):
         total = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
         for j in range(BAND_ROWS):
             total = mix(total + out[:, :, j], j + 20)
-    return total
+    return total, bits.view(np.int64)
 
 
 def _features(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_pieces(batches, "text"):
@@ -84,9 +92,10 @@ def _features(k: int):
             if some.any():
                 for salt, out in enumerate(sums):
                     out[some] = np.add.reduceat(mix(shingles, 3 + salt), offsets[:-1][some])
-            bands = band_hashes(shingles, offsets).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(some) * BANDS]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], schema=schema)
+            bands, bits = band_hashes(shingles, offsets)
+            ends = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands, bits)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists], schema=schema)
 
     return run
 
@@ -120,6 +129,49 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.filter(100 * F.col("both") >= percent * union).select("a", "b")
 
 
+def _centred(members: DataFrame, hot: int) -> DataFrame:
+    """Members (rep, size, band, bucket, n, support) with their bucket's centre."""
+    rank = F.struct("support", (-F.col("rep")).alias("low"), "size")
+    first = members.groupBy("bucket").agg(F.max(rank).alias("c"), F.count(F.lit(1)).alias("in_bucket"))
+    first = first.select("bucket", (-F.col("c.low")).alias("centre"), F.col("c.size").alias("c_size"), "in_bucket")
+    return join_one_row_per_key(members, first, ["bucket"], "in_bucket", hot, "rep")
+
+
+def _star_pairs(centred: DataFrame, percent: int) -> DataFrame:
+    """(a, b, spread): each member with its centre, if their sizes allow a link."""
+    near = centred.filter("rep <> centre").filter(100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size"))
+    return near.groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("spread"))
+
+
+def _apart(centred: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
+    """Members of buckets that hold several components, with their own root and
+    that of the bucket's centre."""
+    placed = centred.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    own = F.max(F.when(F.col("rep") == F.col("centre"), F.col("root")))
+    mixed = placed.groupBy("bucket").agg(own.alias("c_root"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
+    return join_one_row_per_key(placed, mixed.select("bucket", "c_root", "rows"), ["bucket"], "rows", hot, "rep")
+
+
+def _rest(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components of a bucket that the stars did not compare.
+
+    One side lies outside the centre's component. A pair is taken in the first
+    bucket that it shares.
+    """
+    left = apart.filter("root <> c_root").select("bucket", "band", F.col("rep").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size"), F.col("bands").alias("b_bands"), F.col("sketch").alias("b_sketch"), "n")
+    right = apart.select("bucket", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"), F.col("bands").alias("a_bands"), F.col("sketch").alias("a_sketch"), (F.col("root") == F.col("c_root")).alias("a_in"), "centre")
+    once = F.col("a_in") | (F.col("a") < F.col("b"))
+    sized = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    differ = sum((F.bit_count(F.get("a_sketch", F.lit(i)).bitwiseXOR(F.get("b_sketch", F.lit(i)))) for i in range(3)), F.lit(0))
+    # bits differ with half the probability that bins do; small sets fill few bins
+    chance = (100 - percent) / 200
+    filled = BINS * (1 - F.exp(-F.least("a_size", "b_size") / F.lit(float(BINS))))
+    alike = differ <= BINS * (chance + SIGMAS * F.sqrt(chance * (1 - chance) / filled))
+    earlier = F.arrays_overlap(F.slice("a_bands", 1, F.col("band")), F.slice("b_bands", 1, F.col("band")))
+    pairs = left.join(right, "bucket").filter((F.col("a_root") != F.col("b_root")) & (F.col("a") != F.col("centre")) & once & sized & alike & ~earlier)
+    return pairs.select("a", "b", F.col("n").alias("spread"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose sets of k-word shingles are alike.
 
@@ -136,45 +188,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    feats = materialize(docs.mapInArrow(_features(k), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"), "minhash")
+    feats = materialize(docs.mapInArrow(_features(k), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"), "minhash")
     hot = hot_limit(feats.count())
     some = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = some.select("doc_id", "n_shingles", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = some.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "sketch").join(classes.select("rep"), "rep", "left_semi")
 
-    bands = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
+    bands = reps.select("rep", "size", F.posexplode("bands").alias("band", "bucket"))
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(join_one_row_per_key(bands, buckets, ["bucket"], "n", hot, "rep"), "members")
     support = members.groupBy("rep").agg(F.sum("n").alias("support"))
     members = materialize(members.join(support, "rep"), "supported")
     sets = materialize(keep_ids(docs, support.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id bigint, shingles array<bigint>"), "sets")
 
-    rank = F.struct("support", (-F.col("rep")).alias("low"), "size")
-    near = lambda: 100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size")  # noqa: E731  else the sizes rule it out
-    first = members.groupBy("bucket").agg(F.max(rank).alias("c"), F.max("n").alias("in_bucket"))
-    first = first.select("bucket", (-F.col("c.low")).alias("centre"), F.col("c.size").alias("c_size"), "in_bucket")
-    linked = join_one_row_per_key(members, first, ["bucket"], "in_bucket", hot, "rep").filter("rep <> centre").filter(near())
-    pairs = linked.groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("spread"))
-    edges = materialize(_confirm(pairs, sets, percent), "links")
+    centred = _centred(members, hot)
+    edges = materialize(_confirm(_star_pairs(centred, percent), sets, percent), "links")
+    roots = connected_components(edges)
+
+    apart = materialize(_apart(centred, roots, hot), "apart")
+    edges = edges.union(materialize(_confirm(_star_pairs(_centred(apart.filter("root <> c_root").select(members.columns), hot), percent), sets, percent), "links"))
     roots = connected_components(edges)
 
-    done, centres = 1, 8
-    while True:
-        placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("rows")).filter((F.col("lo") != F.col("hi")) & (F.col("rows") > done))
-        open_ = materialize(join_one_row_per_key(placed, mixed.select("bucket", "rows"), ["bucket"], "rows", hot, "rep"), "mixed")
-        if open_.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy(F.desc("support"), "rep")
-        some = open_.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= centres)
-        some = some.filter(F.col("rn") > done).select("bucket", F.col("rep").alias("centre"), F.col("size").alias("c_size"), F.col("root").alias("c_root"))
-        pairs = open_.join(some, "bucket").filter("root <> c_root").filter(near())
-        pairs = pairs.groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("spread"))
-        more = materialize(_confirm(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            roots = connected_components(edges)
-        done, centres = centres, centres * 8
+    apart = materialize(_apart(centred, roots, hot).join(reps.select("rep", "bands", "sketch"), "rep"), "apart")
+    edges = edges.union(materialize(_confirm(_rest(apart, percent), sets, percent), "links"))
+    roots = connected_components(edges)
 
     placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("component_id"), "copies")
