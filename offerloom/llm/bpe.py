@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ship_package, text_buffer, text_pieces
 
 #: Distinct fragments in each of the two generations that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -84,8 +84,8 @@ class FragmentEncoder:
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.bytes_of |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.digests = digests
-        self.known: dict[bytes, tuple[bytes, ...]] = {}
-        self.older: dict[bytes, tuple[bytes, ...]] = {}
+        self.known: dict[bytes, bytes | tuple[bytes, ...]] = {}
+        self.older: dict[bytes, bytes | tuple[bytes, ...]] = {}
 
     @classmethod
     def of(cls, path: str, digests: bool = True) -> FragmentEncoder:
@@ -111,7 +111,7 @@ class FragmentEncoder:
         cut[offsets] = True
         return np.flatnonzero(cut)
 
-    def learn(self, fragments: list[bytes]) -> list[tuple[bytes, ...]]:
+    def learn(self, fragments: list[bytes]) -> list[bytes] | list[tuple[bytes, ...]]:
         """ids as little-endian uint32; with digests, "id," each and decoded bytes."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
@@ -128,7 +128,7 @@ class FragmentEncoder:
             for f, e in zip(part, self.tokenizer.encode_batch_fast([f.decode() for f in part], add_special_tokens=False)):
                 ids = e.ids
                 packed = struct.pack(f"<{len(ids)}I", *ids)
-                known[f] = (packed, ("%d," * len(ids) % tuple(ids)).encode(), b"".join([self.bytes_of[i] for i in ids])) if self.digests else (packed,)
+                known[f] = (packed, ("%d," * len(ids) % tuple(ids)).encode(), b"".join([self.bytes_of[i] for i in ids])) if self.digests else packed
         return [known[f] for f in fragments]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -142,7 +142,7 @@ class FragmentEncoder:
         first = np.searchsorted(cuts, offsets) if count else np.zeros(len(offsets), np.int64)
         out = []
         for k in range(3 if self.digests else 1):
-            whole = pa.array([x[k] for x in learnt], pa.large_binary()).take(distinct.indices)
+            whole = pa.array([x[k] for x in learnt] if self.digests else learnt, pa.large_binary()).take(distinct.indices)
             ends = np.frombuffer(whole.buffers()[1], np.int64)[: count + 1] if count else np.zeros(1, np.int64)
             body = whole.buffers()[2] if count else None
             out.append((body.to_pybytes() if body is not None else b"", ends[first]))

@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
-
 THRESHOLD = 0.9
 
 #: Public licence notices.
@@ -65,7 +63,8 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = No
     Takes (doc_id bigint, text, ...) and returns (doc_id, license, n_units,
     dice): for each licence that a line, paragraph (lines between blank lines)
     or whole text comes to by ``threshold`` or more, the number of distinct such
-    units and the best coefficient. Null, empty and one-word units match
+    units and the best coefficient. A unit counts for the closest template, on a
+    tie for the first licence by name. Null, empty and one-word units match
     nothing. Rows that share an id, a null one included, count together. Other
     columns are ignored.
     """
@@ -75,21 +74,20 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = No
     known = plain.select("license", "version", bigrams("words").alias("pairs")).withColumn("b", F.size("pairs")).filter("b > 0").cache()
     sizes = sorted({r["b"] for r in known.select("b").collect()})
     ratio = threshold / (2 - threshold)
-    in_bounds = F.lit(False)
-    for b in sizes:
-        in_bounds = in_bounds | F.col("a").between(ratio * b - 1e-9, b / ratio + 1e-9)
+    longest = max(sizes, default=0) / ratio
+    allowed = [a for a in range(1, int(longest + 1e-9) + 1) if any(ratio * b - 1e-9 <= a <= b / ratio + 1e-9 for b in sizes)]
 
     text = F.coalesce("text", F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \\t\\r]*\n"), F.array(text)))
-    longest = max(sizes, default=0) / ratio
     unit = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(units).alias("unit"))
-    # a text of w words has at most w - 1 distinct bigrams, and at least one in two letters of each is new
-    words = unit.select("doc_id", F.xxhash64("unit").alias("uid"), normalised_words(F.col("unit")).alias("words")).filter(F.size("words") > 1)
-    least = max(1.0, ratio * min(sizes, default=1))
-    sized = words.filter(F.size("words") - 1 >= least - 1e-9).select("doc_id", "uid", bigrams("words").alias("pairs"))
-    sized = sized.withColumn("a", F.size("pairs")).filter((F.col("a") <= longest + 1e-9) & in_bounds)
+    # a generator's output is not computed again where filters use it
+    words = unit.select("doc_id", F.xxhash64("unit").alias("uid"), F.explode(F.array(normalised_words(F.col("unit")))).alias("words"))
+    words = words.filter(F.size("words") > min(allowed, default=0))
+    sized = words.select("doc_id", "uid", F.explode(F.array(bigrams("words"))).alias("pairs"))
+    sized = sized.withColumn("a", F.size("pairs")).filter(F.array_contains(F.array(*[F.lit(a) for a in allowed]), F.col("a")))
     terms = F.broadcast(known.select("license", "version", "b", F.explode("pairs").alias("pair")))
     hits = sized.select("doc_id", "uid", "a", F.explode("pairs").alias("pair")).join(terms, "pair").filter(threshold * (F.col("a") + F.col("b")) <= 2 * F.least("a", "b") + 1e-9)
     shared = hits.groupBy("doc_id", "uid", "a", "license", "version", "b").agg(F.count(F.lit(1)).alias("n"))
     dice = shared.withColumn("dice", 2 * F.col("n") / (F.col("a") + F.col("b"))).filter(F.col("dice") >= threshold)
-    return dice.groupBy("doc_id", "license").agg(F.countDistinct("uid").alias("n_units"), F.max("dice").alias("dice"))
+    best = dice.groupBy("doc_id", "uid").agg(F.max("dice").alias("dice"), F.min_by("license", F.struct(-F.col("dice"), "license")).alias("license"))
+    return best.groupBy("doc_id", "license").agg(F.count(F.lit(1)).alias("n_units"), F.max("dice").alias("dice"))

@@ -82,8 +82,12 @@ def _found(docs: DataFrame) -> DataFrame:
 
 def _labelled(kinds: list[str]) -> Column:
     """One array<struct<start, rank, end>> of the spans of several kinds."""
-    parts = [F.transform(k, lambda s, r=ORDER.index(k): F.struct(s["start"].alias("start"), F.lit(r).alias("rank"), s["end"].alias("end"))) for k in kinds]
-    return F.concat(*parts)
+
+    def ranked(kind: str) -> Column:
+        rank = F.lit(ORDER.index(kind)).alias("rank")
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), rank, s["end"].alias("end")))
+
+    return F.concat(*map(ranked, kinds))
 
 
 def _told(spans: Column) -> Column:
