@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, near_dup, quality, secret_scan, token_store, warc
+from . import bpe, decontaminate, license_scan, near_dup, quality, repeats, secret_scan, token_store, warc
 from .common import fresh_path
 
 
@@ -38,6 +38,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"), span=200)
+
+
 def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_store.write_tokens(_read(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=0)
@@ -57,7 +61,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op6_token_parquet, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
