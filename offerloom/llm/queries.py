@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, near_dup, quality, repeats, secret_scan, token_store, warc
+from . import bpe, decontaminate, license_scan, lm_score, near_dup, quality, repeats, secret_scan, token_store, warc
 from .common import fresh_path
 
 
@@ -48,6 +48,10 @@ def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op8_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents")).drop("found", "rid")
 
@@ -61,7 +65,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_stupid_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
