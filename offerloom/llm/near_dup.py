@@ -10,11 +10,12 @@
    m - 1 candidates and not m * (m - 1) / 2.
 4. Candidates are confirmed on full shingle sets; confirmed links give
    components.
-5. In a bucket whose members are still in different components, those outside
-   the centre's component make a star of their own. What is then still apart
-   from the centre is compared with the members of other components: only there,
-   once for each pair, and only where sizes and one-bit sketches leave the
-   similarity possible. So no pair that shares a bucket is lost.
+5. Where members of a bucket are still in different components, those outside
+   the centre's component are compared with the others of its star, block
+   against block. A member comes as its symmetric difference to the centre's
+   set, which is short among near copies and gives any two members' intersection
+   exactly. Only links are emitted, and of those only a spanning forest. So no
+   pair that shares a bucket is lost, and no pairs are listed to find out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_limit, join_one_row_per_key, keep_ids, materialize, ship_package, text_buffer, text_pieces
@@ -34,9 +35,8 @@ from .shingles import distinct_shingles, mix
 #: probability (1 - 0.8 ** 5) ** 32 = 3e-6, one at 0.9 with 2e-13.
 BANDS, BAND_ROWS = 32, 5
 BINS = BANDS * BAND_ROWS
-#: Standard deviations below its mean at which the match of two one-bit sketches
-#: (Li and Koenig, 2010) rules a pair out.
-SIGMAS = 5.5
+#: Members of a star in a block of step 5.
+BLOCK = 2048
 
 _PROBES = np.random.default_rng(5).integers(0, BINS, (4096, BINS))
 
@@ -54,8 +54,8 @@ def _densify(minimum: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each non-empty set: its band hashes, and one bit of each bin in 3 words."""
+def band_hashes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row of band hashes for each non-empty set of sorted shingle hashes."""
     rows = []
     for s, e in zip(offsets[:-1], offsets[1:]):
         if s == e:
@@ -68,20 +68,17 @@ def band_hashes(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         filled[bins] = True
         rows.append(minimum if filled.all() else _densify(minimum, filled))
     if not rows:
-        return np.zeros((0, BANDS), np.uint64), np.zeros((0, 3), np.int64)
-    out = np.array(rows)
-    bits = np.zeros((len(rows), 24), np.uint8)
-    bits[:, : BINS // 8] = np.packbits((out & np.uint64(1)).astype(bool), axis=1)
-    out = out.reshape(-1, BANDS, BAND_ROWS)
+        return np.zeros((0, BANDS), np.uint64)
+    out = np.array(rows).reshape(-1, BANDS, BAND_ROWS)
     with np.errstate(over="ignore"):
         total = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
         for j in range(BAND_ROWS):
             total = mix(total + out[:, :, j], j + 20)
-    return total, bits.view(np.int64)
+    return total
 
 
 def _features(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_pieces(batches, "text"):
@@ -92,10 +89,9 @@ def _features(k: int):
             if some.any():
                 for salt, out in enumerate(sums):
                     out[some] = np.add.reduceat(mix(shingles, 3 + salt), offsets[:-1][some])
-            bands, bits = band_hashes(shingles, offsets)
-            ends = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands, bits)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists], schema=schema)
+            bands = band_hashes(shingles, offsets).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(some) * BANDS]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], schema=schema)
 
     return run
 
@@ -111,24 +107,71 @@ def _sets(k: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, spread) whose full sets reach the similarity, as (a, b).
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, spread, ...) with the full sets of both as (left, right).
 
     ``a`` may be the centre of a great many pairs. Its set is copied once for
     each sub-key, and a sub-key is made for about every 128 members of the
     buckets that gave the pairs.
     """
     part = F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("spread") / 128)).cast("bigint")
-    pairs = pairs.select("a", "b", F.xxhash64("a", part).alias("sub"))
+    pairs = pairs.withColumn("sub", F.xxhash64("a", part))
     keys = pairs.groupBy("a", "sub").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    centres = keys.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
+    centres = keys.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").select(F.col("sub").alias("s"), "left")
     members = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    both = F.size(F.array_intersect("left", "right"))
+    return members.join(centres, F.col("sub") == F.col("s")).drop("sub", "s")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, spread) whose full sets reach the similarity, as (a, b)."""
+    found = _with_sets(pairs, sets).withColumn("both", F.size(F.array_intersect("left", "right")))
     union = F.size("left") + F.size("right") - F.col("both")
-    found = members.join(centres.drop("a").withColumnRenamed("sub", "s"), F.col("sub") == F.col("s")).withColumn("both", both)
     return found.filter(100 * F.col("both") >= percent * union).select("a", "b")
 
 
+def _block_links(percent: int):
+    """Links between the left and the right members of one pair of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_left = table.column("is_left").to_numpy()
+        left, right = table.filter(pa.array(is_left)), table.filter(pa.array(~is_left))
+        names = ("b", "root", "size")
+        b, root, size = (left.column(c).to_numpy() for c in names)
+        b2, root2, size2 = (right.column(c).to_numpy() for c in names)
+        lists, lists2 = (t.column("delta").combine_chunks() for t in (left, right))
+        far, far2 = (x.value_lengths().to_numpy().astype(np.int64) for x in (lists, lists2))
+        token2, owner2 = lists2.flatten().to_numpy(), np.repeat(np.arange(len(b2)), far2)
+        order = np.argsort(token2)
+        token2, owner2 = token2[order], owner2[order]
+        group: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := group.get(x, x)) != x:
+                group[x] = x = group.get(up, up)
+            return x
+
+        links = []
+        for at in range(0, len(b), 64):
+            part = slice(at, at + 64)
+            token, owner = lists[part].flatten().to_numpy(), np.repeat(np.arange(len(b[part])), far[part])
+            lo, hi = np.searchsorted(token2, token), np.searchsorted(token2, token, "right")
+            n = hi - lo
+            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared = np.bincount(np.repeat(owner, n) * len(b2) + owner2[place], minlength=len(b[part]) * len(b2)).reshape(-1, len(b2))
+            total = size[part, None] + size2[None, :]
+            both = (total - (far[part, None] + far2[None, :] - 2 * shared)) // 2
+            close = (100 * both >= percent * (total - both)) & (root[part, None] != root2[None, :])
+            for i, j in zip(*np.nonzero(close)):
+                one, two = top(int(root[at + i])), top(int(root2[j]))
+                if one != two:
+                    group[one] = two
+                    links.append((b[at + i], b2[j]))
+        out = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    return run
+
+
 def _centred(members: DataFrame, hot: int) -> DataFrame:
     """Members (rep, size, band, bucket, n, support) with their bucket's centre."""
     rank = F.struct("support", (-F.col("rep")).alias("low"), "size")
@@ -143,33 +186,24 @@ def _star_pairs(centred: DataFrame, percent: int) -> DataFrame:
     return near.groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("spread"))
 
 
-def _apart(centred: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
-    """Members of buckets that hold several components, with their own root and
-    that of the bucket's centre."""
+def _rest(centred: DataFrame, roots: DataFrame, sets: DataFrame, hot: int, percent: int) -> DataFrame:
+    """Links (a, b) across components that the stars did not show."""
     placed = centred.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    own = F.max(F.when(F.col("rep") == F.col("centre"), F.col("root")))
-    mixed = placed.groupBy("bucket").agg(own.alias("c_root"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
-    return join_one_row_per_key(placed, mixed.select("bucket", "c_root", "rows"), ["bucket"], "rows", hot, "rep")
-
-
-def _rest(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of a bucket that the stars did not compare.
-
-    One side lies outside the centre's component. A pair is taken in the first
-    bucket that it shares.
-    """
-    left = apart.filter("root <> c_root").select("bucket", "band", F.col("rep").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size"), F.col("bands").alias("b_bands"), F.col("sketch").alias("b_sketch"), "n")
-    right = apart.select("bucket", F.col("rep").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"), F.col("bands").alias("a_bands"), F.col("sketch").alias("a_sketch"), (F.col("root") == F.col("c_root")).alias("a_in"), "centre")
-    once = F.col("a_in") | (F.col("a") < F.col("b"))
-    sized = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    differ = sum((F.bit_count(F.get("a_sketch", F.lit(i)).bitwiseXOR(F.get("b_sketch", F.lit(i)))) for i in range(3)), F.lit(0))
-    # bits differ with half the probability that bins do; small sets fill few bins
-    chance = (100 - percent) / 200
-    filled = BINS * (1 - F.exp(-F.least("a_size", "b_size") / F.lit(float(BINS))))
-    alike = differ <= BINS * (chance + SIGMAS * F.sqrt(chance * (1 - chance) / filled))
-    earlier = F.arrays_overlap(F.slice("a_bands", 1, F.col("band")), F.slice("b_bands", 1, F.col("band")))
-    pairs = left.join(right, "bucket").filter((F.col("a_root") != F.col("b_root")) & (F.col("a") != F.col("centre")) & once & sized & alike & ~earlier)
-    return pairs.select("a", "b", F.col("n").alias("spread"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi")
+    placed = join_one_row_per_key(placed, mixed.select("bucket", "rows"), ["bucket"], "rows", hot, "rep")
+    pairs = placed.groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("spread"), F.first("root").alias("root"), F.first("size").alias("size"))
+    pairs = materialize(pairs, "apart")
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("a_root"))
+    pairs = join_one_row_per_key(pairs, stars, ["a"], "rows", hot, "b")
+    delta = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
+    known = _with_sets(pairs, sets).select("a", "b", "root", "size", "rows", (F.col("root") != F.col("a_root")).alias("outside"), delta.alias("delta"))
+    known = materialize(known, "differences")
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("bigint")
+    own, every = F.pmod(F.xxhash64("b"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    columns = ["b", "root", "size", "delta"]
+    left = known.filter("outside").select("a", own.alias("i"), every.alias("j"), F.lit(True).alias("is_left"), *columns)
+    right = known.select("a", every.alias("i"), own.alias("j"), F.lit(False).alias("is_left"), *columns)
+    return left.union(right).groupBy("a", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -188,13 +222,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    feats = materialize(docs.mapInArrow(_features(k), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>"), "minhash")
+    feats = materialize(docs.mapInArrow(_features(k), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"), "minhash")
     hot = hot_limit(feats.count())
     some = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = some.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands", "sketch").join(classes.select("rep"), "rep", "left_semi")
+    reps = some.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands").join(classes.select("rep"), "rep", "left_semi")
 
-    bands = reps.select("rep", "size", F.posexplode("bands").alias("band", "bucket"))
+    bands = reps.select("rep", "size", F.explode("bands").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(join_one_row_per_key(bands, buckets, ["bucket"], "n", hot, "rep"), "members")
     support = members.groupBy("rep").agg(F.sum("n").alias("support"))
@@ -205,12 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     edges = materialize(_confirm(_star_pairs(centred, percent), sets, percent), "links")
     roots = connected_components(edges)
 
-    apart = materialize(_apart(centred, roots, hot), "apart")
-    edges = edges.union(materialize(_confirm(_star_pairs(_centred(apart.filter("root <> c_root").select(members.columns), hot), percent), sets, percent), "links"))
-    roots = connected_components(edges)
-
-    apart = materialize(_apart(centred, roots, hot).join(reps.select("rep", "bands", "sketch"), "rep"), "apart")
-    edges = edges.union(materialize(_confirm(_rest(apart, percent), sets, percent), "links"))
+    edges = edges.union(materialize(_rest(centred, roots, sets, hot, percent), "links"))
     roots = connected_components(edges)
 
     placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
