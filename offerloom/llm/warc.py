@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import math
 from collections.abc import Iterator
 
@@ -62,8 +63,9 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date
 
     The payload is the html in UTF-8, empty where null. Records that revisit
     another have no block. Files are plain text to Spark: the line separator is
-    the end of a record, so its writer commits them and any file system will do.
-    Pages are dealt to as many files as their bytes call for.
+    the end of a record, so its writer commits them, compressed with gzip, and
+    any file system will do. Pages are dealt to as many files as their bytes call
+    for.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     digest = F.sha2(F.encode("payload", "UTF-8"), 256)
@@ -71,12 +73,14 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date
     decided = materialize(resolve_revisits(materialize(headers, "headers"), least_bytes), "revisits")
     size = decided.agg(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 500)).first()[0] or 0
     revisits = decided.filter("record_type = 'revisit'").select("page_id", "payload_digest", "refers_to").distinct()
-    own = pages.withColumn("payload_digest", digest).alias("p")
-    same = F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.payload_digest") == F.col("r.payload_digest"))
-    records = own.join(revisits.alias("r"), same, "left").select("p.page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"), "p.payload_digest", "refers_to")
-    records = records.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    own = pages.withColumn("payload_digest", digest)
+    # one shuffle of the payloads serves both the join and the files
+    pair = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "payload_digest").alias("pair")
     files = max(1, math.ceil(size / file_bytes))
-    records.repartition(files, F.xxhash64("page_id", "payload_digest")).select(_record(date).alias("value")).write.option("lineSep", END).text(path)
+    records = own.select(pair, "*").repartition(files, "pair").join(revisits.select(pair, "refers_to"), "pair", "left")
+    records = records.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_digest", "refers_to")
+    records = records.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    records.select(_record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +93,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column("content"):
             data, at, rows, held = memoryview(content.as_buffer()), 0, [], 0
+            if bytes(data[:2]) == b"\x1f\x8b":
+                data = memoryview(gzip.decompress(data))
             while at < len(data):
                 stop, step = -1, 4096
                 while stop < 0:  # headers are short; look no further than need be
