@@ -27,15 +27,15 @@ from .common import hot_limit, join_one_row_per_key, keep_ids, materialize, ship
 from .phrases import K, phrases, prefix_sums, substring_hashes
 
 SPAN = 200
-#: A longer text is parsed in pieces of this size.
-PIECE = 4 << 20
+#: Bytes of text that are parsed at a time; a longer text is parsed in pieces.
+PIECE = 512 << 10
 
 
 def _parse(span: int):
     schema = pa.schema([("rid", pa.int64()), ("place", pa.int64()), ("h", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_pieces(batches, "text"):
+        for piece in text_pieces(batches, "text", PIECE):
             data, offsets = text_buffer(piece.column("text"))
             rid = piece.column("rid").to_numpy()
             long_text = len(rid) == 1
@@ -54,7 +54,7 @@ def _strings(span: int):
     schema = pa.schema([("w", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_pieces(batches, "text"):
+        for piece in text_pieces(batches, "text", PIECE):
             for i in range(piece.num_rows):
                 data, _ = text_buffer(piece.column("text").slice(i, 1))
                 listed = piece.column("spots").slice(i, 1).flatten()
