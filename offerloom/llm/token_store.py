@@ -48,7 +48,7 @@ def _rows(name: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = FragmentEncoder.of(SparkFiles.get(name), digests=False)
         part, before = TaskContext.get().partitionId(), 0
-        for piece in text_pieces(batches, "text", 2 << 20):
+        for piece in text_pieces(batches, "text", 1 << 20):
             ids, ends = encoder.encode(piece.column("text"))[0]
             ids, ends = np.frombuffer(ids, np.int32), ends // 4
             ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
