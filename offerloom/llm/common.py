@@ -96,11 +96,21 @@ def join_one_row_per_key(left: DataFrame, right: DataFrame, keys: list[str], row
     return joined.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"__value.{v}").alias(v) for v in values])
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``ids``: broadcast if small, else shuffled."""
+def _some_ids(ids: DataFrame, key: str) -> DataFrame:
+    """Distinct ids, marked for a broadcast if few, else for a shuffle."""
     ids = ids.select(F.col(key)).filter(F.col(key).isNotNull()).distinct()
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
+    return F.broadcast(ids) if small else ids.hint("merge")
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids``."""
+    return df.join(_some_ids(ids, key), key, "left_semi")
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is null or not in ``ids``."""
+    return df.join(_some_ids(ids, key), key, "left_anti").select(df.columns)
 
 
 def text_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:

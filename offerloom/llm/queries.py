@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, license_scan, lm_score, near_dup, quality, repeats, secret_scan, token_store, warc
@@ -15,9 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return corpus_pipeline.tokenizer_file()
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +64,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_stupid_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_stupid_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in found.items() if v}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_ids, keep_ids, materialize
 
 #: The strong kinds, in order; group and least length that count.
 STRONG = {
@@ -143,8 +143,9 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     stay as they are.
     """
     found = scan(docs).filter(F.size("found") > 0).select(F.col("rid").alias("__rid"), F.col("found").alias("__found")).dropDuplicates(["__rid"])
+    found = materialize(found, "redactions")
     keyed = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, "__rid", "left")
+    joined = keep_ids(keyed, found, "__rid").join(found, "__rid")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -152,7 +153,7 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
         grown = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
 
-    done = F.aggregate("__found", begin, step)
-    rest = F.substring(F.col("text"), done["at"] + 1, F.length("text"))
-    text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.concat(done["out"], rest))
-    return joined.withColumn("text", text).select(*docs.columns)
+    done = joined.withColumn("__done", F.aggregate("__found", begin, step))
+    rest = F.substring(F.col("text"), F.col("__done.at") + 1, F.length("text"))
+    done = done.withColumn("text", F.concat(F.col("__done.out"), rest)).select(*docs.columns)
+    return drop_ids(keyed, found, "__rid").select(*docs.columns).unionByName(done)
