@@ -1,0 +1 @@
+"""Search and comparison of product offers on Spark."""
