@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import WS
 
@@ -59,7 +60,7 @@ def confidence(n_sources: Column, diaper_size: Column) -> Column:
     return F.when(n_sources >= 3, "high").when((n_sources == 2) & sized, "high").when(n_sources == 2, "medium").otherwise("low")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def two_decimals(values: pa.Array) -> pa.Array:
     """Two decimals, rounded half up on the exact binary value."""
     return pa.array([None if v is None else str(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)) for v in values.to_pylist()], pa.string())

@@ -12,6 +12,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = r"[\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -24,7 +25,7 @@ def collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"{WS}+", " ")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def strip_accents(texts: pa.Array) -> pa.Array:
     """Canonical decomposition without the combining marks U+0300 to U+036F."""
     marks = dict.fromkeys(range(0x300, 0x370))
@@ -44,7 +45,7 @@ def split_words(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda w: F.length(w) > 2)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def url_slug(urls: pa.Array) -> pa.Array:
     """Last non-empty part of a URL's path, or of the string if it is no URL."""
     from urllib.parse import quote, urlsplit
@@ -85,7 +86,7 @@ def strip_tags_for_price(c: Column) -> Column:
     return collapse_ws(out)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def decode_attribute(values: pa.Array) -> pa.Array:
     """Named, decimal and hexadecimal entities; ``&amp;`` last."""
     import re
