@@ -36,7 +36,7 @@ from .shingles import distinct_shingles, mix
 BANDS, BAND_ROWS = 32, 5
 BINS = BANDS * BAND_ROWS
 #: Members of a star in a block of step 5.
-BLOCK = 2048
+BLOCK = 512
 
 _PROBES = np.random.default_rng(5).integers(0, BINS, (4096, BINS))
 
