@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, lm_score, near_dup, quality, repeats, secret_scan, token_store, warc
+from . import bpe, decontaminate, license_scan, lm_score, near_dup, quality, repeats, secret_scan, sql, token_store, warc
 from .common import fresh_path
 
 
@@ -48,7 +49,8 @@ def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(_read(spark, sf_dir, "documents"))
+    scored = lm_score.lm_scores(_read(spark, sf_dir, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op8_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +70,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"pipeline": corpus_pipeline.ORACLE_SQL}
+    """SQL of the queries that have one. Repeated substrings, BPE, its files, and
+    secrets (which look behind and ahead) can't be written in DuckDB's."""
+    found = {
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+        "op1_benchmark_decontamination": sql.contained_items(k=5, threshold=0.8),
+        "op2_warc_revisits": sql.revisits(least_bytes=100),
+        "op3_risk_controlled_quality": sql.quality_rules(),
+        "op7_stupid_backoff": sql.backoff_scores(),
+        "op9_license_dice": sql.license_matches(),
+        "op10_minhash_near_dedup": sql.near_duplicates(k=4, percent=80),
+    }
     return {k: v for k, v in found.items() if v}
