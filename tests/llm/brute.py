@@ -94,7 +94,7 @@ def repeats(texts: list[str | None], span: int) -> list[tuple[int, int, int, str
         for i in range(len(d) - span + 1):
             if counts[d[i : i + span]] > 1:
                 gone[i : i + span] = b"\1" * span
-        runs = len(re.findall(rb"\1+", bytes(gone)))
+        runs = len(re.findall(b"\x01+", bytes(gone)))
         out.append((len(d), sum(gone), runs, sha(bytes(b for b, g in zip(d, gone) if not g))))
     return out
 
