@@ -76,8 +76,11 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date
     own = pages.withColumn("payload_digest", digest)
     # one shuffle of the payloads serves both the join and the files
     pair = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "payload_digest").alias("pair")
-    files = max(1, math.ceil(size / file_bytes))
-    records = own.select(pair, "*").repartition(files, "pair").join(revisits.select(pair, "refers_to").repartition(files, "pair"), "pair", "left")
+    files = math.ceil(size / file_bytes)
+    # with fewer files than a join is dealt to, Spark deals once more; then its
+    # own number is taken, of which it makes fewer, larger ones
+    number = [files] if files > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    records = own.select(pair, "*").repartition(*number, "pair").join(revisits.select(pair, "refers_to").repartition(*number, "pair"), "pair", "left")
     records = records.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_digest", "refers_to")
     records = records.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     records.select(_record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
