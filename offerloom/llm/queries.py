@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, lm_score, near_dup, quality, repeats, secret_scan, sql, token_store, warc
+from . import bpe, decontaminate, license_scan, lm_score, near_dup, quality, repeats, secret_scan, sql, token_store, warc, word_score
 from .common import fresh_path
 
 
@@ -53,6 +53,11 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
+def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = word_score.word_scores(_read(spark, sf_dir, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
 def op8_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents")).drop("found", "rid")
 
@@ -66,7 +71,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_stupid_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_word_backoff, op7_stupid_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,6 +82,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_benchmark_decontamination": sql.contained_items(k=5, threshold=0.8),
         "op2_warc_revisits": sql.revisits(least_bytes=100),
         "op3_risk_controlled_quality": sql.quality_rules(),
+        "op7_word_backoff": sql.word_scores(),
         "op7_stupid_backoff": sql.backoff_scores(),
         "op9_license_dice": sql.license_matches(),
         "op10_minhash_near_dedup": sql.near_duplicates(k=4, percent=80),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, lm_score, quality
+from . import license_scan, lm_score, quality, word_score
 
 _WORDS = r"list_filter(string_split_regex({}, '[ \t-\r]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,6 +77,20 @@ r AS (SELECT doc_id, sum(ln(s)) AS x FROM b JOIN s{order} USING (g) GROUP BY doc
 SELECT doc_id, n_bytes, round(coalesce(x, 0), 4) AS log_score, round(coalesce(x, 0) / nullif(n_bytes, 0), 6) AS mean_log_score FROM h LEFT JOIN r USING (doc_id)"""
 
 
+def word_scores() -> str:
+    words, f, least = _WORDS.format("coalesce(text, '')"), word_score.BACKOFF, word_score.MIN_COUNT
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+t AS (SELECT r, unnest(w) AS c, unnest(list_concat([NULL], w)) AS b, unnest(list_concat([NULL, NULL], w)) AS a FROM d),
+g AS (SELECT r, c, b, b || ' ' || c AS bc, a || ' ' || b AS ab, a || ' ' || b || ' ' || c AS abc FROM t WHERE c IS NOT NULL),
+n AS (SELECT g, count(*)::DOUBLE AS n FROM (SELECT c AS g FROM g UNION ALL SELECT bc FROM g UNION ALL SELECT abc FROM g) WHERE g IS NOT NULL GROUP BY g),
+s AS (SELECT r, CASE WHEN n3.n >= {least} THEN n3.n / nab.n ELSE CASE WHEN abc IS NULL THEN 1 ELSE {f} END
+  * CASE WHEN n2.n >= {least} THEN n2.n / nb.n ELSE CASE WHEN bc IS NULL THEN 1 ELSE {f} END * n1.n / (SELECT count(*) FROM g) END END AS s
+  FROM g JOIN n n1 ON n1.g = c LEFT JOIN n nb ON nb.g = b LEFT JOIN n n2 ON n2.g = bc LEFT JOIN n nab ON nab.g = ab LEFT JOIN n n3 ON n3.g = abc),
+x AS (SELECT r, sum(ln(s)) AS x FROM s GROUP BY r)
+SELECT doc_id, len(w) AS n_words, round(coalesce(x, 0), 4) AS log_score, round(coalesce(x, 0) / nullif(len(w), 0), 6) AS mean_log_score FROM d LEFT JOIN x USING (r)"""
+
+
 def license_matches() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(n)}, {i}, {quoted(t)})" for n, texts in license_scan.TEMPLATES.items() for i, t in enumerate(texts))
