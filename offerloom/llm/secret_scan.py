@@ -27,8 +27,8 @@ HINTS = {"assign": ["passw", "secret", "token", "api_key", "apikey"], "access":
 
 #: Weak parts: pattern, hints in lower case.
 WEAK = {
-    "account": (r"""(?i)(?<![A-Za-z0-9])(?:user_?name|user|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""", ["user", "login", "client", "account", "access"]),
-    "phrase": (r"""(?i)(?<![A-Za-z0-9])(?:pwd|passphrase|pass|credential|private_?key|auth)["']?\x20*[:=]\x20*["']?[^\s"']{4,128}""", ["pwd", "pass", "credential", "private", "auth"]),
+    "account": (r"""(?i)(?<![A-Za-z0-9])(?:user_?name|user|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", ["user", "login", "client", "account", "access"]),
+    "phrase": (r"""(?i)(?<![A-Za-z0-9])(?:pwd|passphrase|pass|credential|private_?key|auth)["']?\x20*[:=]\x20*["']?[^\s"']{4,}""", ["pwd", "pass", "credential", "private", "auth"]),
     "bare": (r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])", None),
     "endpoint": (r"""(?i)(?<![A-Za-z0-9])(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftps?|sftp|ssh|s3)://[^\s"'<>]+""", ["://"]),
 }

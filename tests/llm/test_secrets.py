@@ -79,6 +79,15 @@ def test_redact(spark):
     assert secret_scan.redact(df.limit(0)).collect() == secret_scan.scan(df.limit(0)).collect() == []
 
 
+def test_long_values_are_told_and_redacted_whole(spark):
+    texts = [f"user=alice pwd={'s3-' * n} end" for n in (30, 100, 300)] + [f"user={'bob.' * n} pwd=s3cr3t!!" for n in (30, 100, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.found] for r in secret_scan.scan(df).collect()}
+    assert found == {i: t.split()[:2] for i, t in enumerate(texts)}
+    redacted = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert redacted == {i: "[SECRET] [SECRET]" + (" end" if i < 3 else "") for i in range(6)}
+
+
 def test_licenses(spark):
     rng, rows = random.Random(4), []
     bodies = [t for texts in license_scan.TEMPLATES.values() for t in texts]
