@@ -102,22 +102,25 @@ def scan(docs: DataFrame) -> DataFrame:
     n_hex, base_sha256, spans, found), one row for each row. ``found`` is an
     array of (start, rank, end) and ``spans`` the same as text, kind:start:end
     in code points, sorted by start and kind; base_sha256 is the digest of the
-    strong ones alone. Weak parts that overlap a strong one are left out. A null
-    or empty text has no spans. Rows that repeat an id and text get the same
-    result; other columns are ignored.
+    strong ones alone. Weak parts that overlap a strong one are not told, but
+    complete others. A null or empty text has no spans. Rows that repeat an id
+    and text get the same result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = _found(docs.withColumn("rid", F.xxhash64("doc_id", "text"))).drop("text")
     found = found.select("doc_id", "rid", *STRONG, _labelled(list(STRONG)).alias("strong"), _labelled(list(WEAK)).alias("all_weak"))
-    clear = F.filter("all_weak", lambda w: ~F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    found = materialize(found.withColumn("weak", clear).drop("all_weak"), "secrets")
+    covered = lambda w: F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    found = found.withColumn("weak", F.filter("all_weak", lambda w: ~covered(w))).withColumn("covered", F.filter("all_weak", covered))
+    found = materialize(found.drop("all_weak"), "secrets")
 
     role = F.get(F.array(*[F.lit(ROLE[k]) for k in ORDER]), F.col("rank"))
-    parts = found.filter(F.size("weak") > 0).select("rid", F.explode(F.concat("strong", "weak")).alias("s"))
-    parts = parts.select("rid", "s.*").withColumn("role", role).distinct()
+    held = found.filter(F.size("weak") > 0)
+    own = held.select("rid", F.explode("weak").alias("s"), F.lit(True).alias("own"))
+    parts = own.union(held.select("rid", F.explode(F.concat("strong", "covered")), F.lit(False))).select("rid", "s.*", "own")
+    parts = parts.withColumn("role", role).distinct()
     parts = materialize(parts, "parts")
     blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BLOCK), F.floor(hi / BLOCK)))
-    weak = parts.filter(F.col("rank") >= len(STRONG))
+    weak = parts.filter("own")
     reach = weak.withColumn("block", blocks(F.greatest(F.col("start") - SCOPE, F.lit(0)), F.col("end") + SCOPE)).alias("w")
 
     def beside(want: str) -> DataFrame:

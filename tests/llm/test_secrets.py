@@ -88,6 +88,15 @@ def test_long_values_are_told_and_redacted_whole(spark):
     assert redacted == {i: "[SECRET] [SECRET]" + (" end" if i < 3 else "") for i in range(6)}
 
 
+@pytest.mark.parametrize("url", ["https://api.example/v1?token=abcdefgh1", "https://h.example/" + "0123456789abcdef" * 2])
+def test_parts_under_a_strong_span_still_complete_others(spark, url):
+    df = spark.createDataFrame([(1, url + " pwd: s3cr3t!!"), (2, url), (3, url + FAR + "pwd: s3cr3t!!")], SCHEMA)
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in secret_scan.scan(df).collect()}
+    strong = "assign" if "token" in url else "hex"
+    assert got == {1: [strong, "phrase"], 2: [strong], 3: [strong]}
+    assert "s3cr3t" not in {r.doc_id: r.text for r in secret_scan.redact(df).collect()}[1]
+
+
 def test_licenses(spark):
     rng, rows = random.Random(4), []
     bodies = [t for texts in license_scan.TEMPLATES.values() for t in texts]
