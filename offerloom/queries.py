@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from .operators import accounting, cache, enrich, grouping, legacy, relevance, r
 from .plans.search import search
 from .schema import SOURCES
 from .sources import payloads
-from .sources.offers import offers, table
+from .sources.offers import offers as made_offers
+from .sources.offers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY = "red widget"
@@ -51,6 +53,14 @@ fg AS (SELECT kind, pack, unit, organic, count(*) AS n, count(DISTINCT source) A
 _SURE = "CASE WHEN n_sources >= 3 THEN 'high' WHEN n_sources = 2 THEN 'medium' ELSE 'low' END"
 
 
+#: Set while a query runs over every line of lineitem.
+_every_line: ContextVar[bool] = ContextVar("every_line", default=False)
+
+
+def offers(spark: SparkSession, d: str) -> DataFrame:
+    return made_offers(spark, d, None) if _every_line.get() else made_offers(spark, d)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -216,7 +226,8 @@ def attr_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_OFFERS + f" SELECT d.source, coalesce(n, 0) AS n FROM (SELECT unnest({_CODES}) AS source) d LEFT JOIN (SELECT source, count(*) AS n FROM o WHERE price < 1500 GROUP BY source) c ON d.source = c.source")
 def count_by_source_zero_filled(spark: SparkSession, d: str) -> DataFrame:
-    return accounting.count_by_source(offers(spark, d).filter("price < 1500")).select("source", "n")
+    every = offers(spark, d)
+    return accounting.count_by_source(every if _every_line.get() else every.filter("price < 1500")).select("source", "n")
 
 
 @query(_OFFERS + " SELECT id, source, source_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY so, pa, su) AS source_rank FROM o) WHERE source_rank <= 20")
@@ -328,3 +339,26 @@ def search_document(spark: SparkSession, d: str) -> DataFrame:
 def search_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     made = search(offers(spark, d), QUERY).groups
     return made.select(F.col("group_rank").cast("bigint").alias("group_rank"), "group_id", "matched_name", "n", "n_sources", "best_price", "best_price_source", "best_ppu", "best_ppu_source", "unit", "match_confidence", "score")
+
+
+#: The queries on offers that also run over the whole of lineitem. Those on what
+#: stays ungrouped are not among them: there the small tables leave nothing.
+WHOLE = [n for n, sql in SQL.items() if sql.startswith(_OFFERS) and n not in ("ungrouped_anti", "standout_candidates", "standout_deal")]
+WHOLE += ["report_lines", "jsonld_walk", "labels", "search_document"]
+
+
+def _whole(f: Query) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        before = _every_line.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            _every_line.reset(before)
+
+    return run
+
+
+for _name in WHOLE:
+    QUERIES[f"whole_{_name}"] = _whole(QUERIES[_name])
+    if _name in SQL:
+        SQL[f"whole_{_name}"] = SQL[_name].replace(" WHERE l_quantity <= 3", "").replace(" WHERE price < 1500", "")

@@ -13,9 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def offers(spark: SparkSession, sf_dir: str, most_quantity: int = 3) -> DataFrame:
-    """One offer for each part and supplier with a line of a small quantity."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") <= most_quantity)
+def offers(spark: SparkSession, sf_dir: str, most_quantity: int | None = 3) -> DataFrame:
+    """One offer for each part and supplier with a line of a small quantity, or
+    with any line if ``most_quantity`` is None."""
+    lines = table(spark, sf_dir, "lineitem")
+    if most_quantity is not None:
+        lines = lines.filter(F.col("l_quantity") <= most_quantity)
     best = lines.groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     rows = best.join(part, F.col("l_partkey") == F.col("p_partkey"))
