@@ -8,9 +8,13 @@ tables. A SPAN-byte string's equals all lie in phrases with the same trigger:
 - A phrase that the dictionary has twice or more repeats as a whole.
 - What is left are distinct phrases that share a trigger, about four for each
   edit of a copy. The strings of each of these, once per dictionary entry, are
-  sorted by content (the suffix array of that part of the dictionary, cut at
-  SPAN bytes); equal neighbours repeat. All strings of a phrase hold its
+  hashed to 64 bits and equal hashes counted. All strings of a phrase hold its
   trigger, so what repeats of it is one stretch, from first to last.
+
+There is no suffix array, neither of the dictionary nor of the parse: to remove
+repeats it takes which strings are equal and not their order, and equal hashes
+meet by a plain hash shuffle where an order needs the strings themselves. The
+price is that two different strings with one hash would count as equal.
 """
 
 from __future__ import annotations
