@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import ship_package, text_buffer, text_pieces
 
-#: Distinct fragments in each of the two generations that a worker remembers.
-REMEMBERED = 150_000
+#: Bytes of fragments, ids and digests that a worker remembers between batches.
+REMEMBERED_BYTES = 48 << 20
+#: A longer fragment (bytes) is not remembered.
+LONGEST = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,11 +50,13 @@ def safe_pairs(free: np.ndarray) -> np.ndarray:
 
     It never joins a non-space to a following space, and a run of letters,
     digits or marks may be cut where no merge crosses. Left out: a left side
-    that is or may be white space (what follows then depends on it), and a
-    quote after a mark, where a contraction would begin anew.
+    that is or may be white space (what follows then depends on it), a quote
+    after a mark, where a contraction would begin anew, and a right side that
+    goes on with a character. cuts() leaves out wider white space.
     """
     safe = free.copy()
     safe[:0x21] = False
+    safe[:, 0x80:0xC0] = False
     mark = np.zeros(256, bool)
     mark[0x21:0x7F] = True
     mark[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
@@ -62,6 +66,11 @@ def safe_pairs(free: np.ndarray) -> np.ndarray:
     return safe
 
 
+#: [lead, second byte] of the characters of three bytes among which white space is.
+BLANK = np.zeros((256, 256), bool)
+BLANK[[0xE1, 0xE2, 0xE2, 0xE3], [0x9A, 0x80, 0x81, 0x80]] = True
+
+
 class FragmentEncoder:
     """Encodes batches of texts through fragments; one for each worker and file.
 
@@ -84,8 +93,11 @@ class FragmentEncoder:
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.bytes_of |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.digests = digests
-        self.known: dict[bytes, bytes | tuple[bytes, ...]] = {}
-        self.older: dict[bytes, bytes | tuple[bytes, ...]] = {}
+        most = max(self.bytes_of)
+        self.vocabulary = pa.array([self.bytes_of.get(i, b"") for i in range(most + 1)], pa.large_binary())
+        self.decimals = pa.array([b"%d," % i for i in range(most + 1)], pa.large_binary())
+        self.keys = pa.array([], pa.binary())
+        self.values = [pa.array([], pa.large_binary())] * (3 if digests else 1)
 
     @classmethod
     def of(cls, path: str, digests: bool = True) -> FragmentEncoder:
@@ -98,10 +110,12 @@ class FragmentEncoder:
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
             cut[1:-1] = self.safe[(data[:-1].astype(np.uint16) << 8) | data[1:]]
-            wide = data[:-1] >= 0x80  # the left side ends a character of two bytes or more
-            two = np.zeros(len(data) - 1, bool)
-            two[1:] = (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
-            cut[1:-1] &= ~wide | two
+        # white space of two and three bytes must not end a fragment
+        if len(data) > 1:
+            cut[np.minimum(np.flatnonzero(data == 0xC2) + 2, len(data))] = False
+            blank = np.flatnonzero((data[:-1] >= 0xE1) & (data[:-1] <= 0xE3))
+            blank = blank[BLANK[data[blank], data[blank + 1]]]
+            cut[np.minimum(blank + 3, len(data))] = False
         raw = data.tobytes()
         for s in self.special:
             at = raw.find(s)
@@ -111,44 +125,79 @@ class FragmentEncoder:
         cut[offsets] = True
         return np.flatnonzero(cut)
 
-    def learn(self, fragments: list[bytes]) -> list[bytes] | list[tuple[bytes, ...]]:
-        """ids as little-endian uint32; with digests, "id," each and decoded bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for f in fragments:
-            if f not in known:
-                if f in older:
-                    known[f] = older[f]
-                else:
-                    new.append(f)
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            for f, e in zip(part, self.tokenizer.encode_batch_fast([f.decode() for f in part], add_special_tokens=False)):
-                ids = e.ids
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                known[f] = (packed, ("%d," * len(ids) % tuple(ids)).encode(), b"".join([self.bytes_of[i] for i in ids])) if self.digests else packed
-        return [known[f] for f in fragments]
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, ...]:
+    def _encoded(self, fragments: pa.Array) -> list[pa.Array]:
+        """The values of each fragment: its ids as little-endian 32-bit integers
+        and, with digests, "id," for each and the bytes that they decode to."""
+        sizes, flat = np.zeros(len(fragments) + 1, np.int64), []
+        for s in range(0, len(fragments), 20_000):
+            texts = fragments.slice(s, 20_000).cast(pa.string()).to_pylist()
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes[s + 1 : s + 1 + len(ids)] = list(map(len, ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), "<i4"))
+        ids, ends = np.concatenate(flat), np.cumsum(sizes)
+        out = [_binary(ends * 4, ids)]
+        for table in (self.decimals, self.vocabulary) if self.digests else ():
+            whole = table.take(pa.array(ids))
+            out.append(_binary(np.frombuffer(whole.buffers()[1], np.int64)[: len(ids) + 1][ends], whole.buffers()[2]))
+        return out
+
+    def learn(self, fragments: pa.Array) -> list[pa.Array]:
+        """The values of each fragment, each distinct new one encoded once.
+
+        What is remembered is bounded in bytes: beyond the bound only the new
+        fragments stay, or none if these alone are too many.
+        """
+        at = pc.index_in(fragments, value_set=self.keys)
+        values = self.values
+        if at.null_count:
+            missing = pc.is_null(at)
+            distinct = fragments.filter(missing).dictionary_encode()
+            new = distinct.dictionary
+            fresh = self._encoded(new)
+            values = [pa.concat_arrays([v, f]) for v, f in zip(values, fresh)]
+            at = pc.replace_with_mask(at, missing, pc.add(distinct.indices, pa.scalar(len(self.keys), pa.int32())))
+            short = pc.less_equal(pc.binary_length(new), LONGEST)
+            new, fresh = new.filter(short), [f.filter(short) for f in fresh]
+            size = sum(x.nbytes for x in (new, *fresh))
+            if size + sum(x.nbytes for x in (self.keys, *self.values)) <= REMEMBERED_BYTES:
+                self.keys, self.values = pa.concat_arrays([self.keys, new]), [pa.concat_arrays([v, f]) for v, f in zip(self.values, fresh)]
+            elif size <= REMEMBERED_BYTES:
+                self.keys, self.values = new, fresh
+            else:
+                self.keys, self.values = new.slice(0, 0), [f.slice(0, 0) for f in fresh]
+        return [v.take(at) for v in values]
+
+    def encode(self, column: pa.Array) -> tuple[tuple[pa.Buffer | bytes, np.ndarray], ...]:
         """For ids and, with digests, decimals and decoded: (bytes, text offsets)."""
         data, offsets = text_buffer(column)
+        if not len(data):
+            return ((b"", np.zeros(len(offsets), np.int64)),) * len(self.values)
         cuts = self.cuts(data, offsets)
-        count = max(len(cuts) - 1, 0)
-        fragments = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]) if count else pa.array([], pa.binary())
-        distinct = fragments.dictionary_encode()
-        learnt = self.learn(distinct.dictionary.to_pylist())
-        first = np.searchsorted(cuts, offsets) if count else np.zeros(len(offsets), np.int64)
+        count = len(cuts) - 1
+        fragments = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+        first = np.searchsorted(cuts, offsets)
         out = []
-        for k in range(3 if self.digests else 1):
-            whole = pa.array([x[k] for x in learnt] if self.digests else learnt, pa.large_binary()).take(distinct.indices)
-            ends = np.frombuffer(whole.buffers()[1], np.int64)[: count + 1] if count else np.zeros(1, np.int64)
-            body = whole.buffers()[2] if count else None
-            out.append((body.to_pybytes() if body is not None else b"", ends[first]))
+        for whole in self.learn(fragments):
+            ends = np.frombuffer(whole.buffers()[1], np.int64)[: count + 1]
+            out.append((whole.buffers()[2] or b"", ends[first]))
         return tuple(out)
 
 
+def _binary(ends: np.ndarray, body) -> pa.Array:
+    body = pa.py_buffer(body) if isinstance(body, np.ndarray) else body
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), body])
+
+
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """``end_id`` put after the ids of each text, and the offsets that result."""
+    ends = ends + np.arange(len(ends))
+    out = np.full(int(ends[-1]), end_id, np.int32)
+    own = np.ones(len(out), bool)
+    own[ends[1:] - 1] = False
+    out[own] = ids
+    return out, ends
+
+
 def share_tokenizer(df: DataFrame, path: str) -> str:
     """Send the tokenizer file to all executors; its name there."""
     sc = df.sparkSession.sparkContext
@@ -167,19 +216,16 @@ def _digests(name: str, id_column: str):
         for piece in text_pieces(batches, "text", 4 << 20):
             (_, ids), (decimals, d), (decoded, t) = encoder.encode(piece.column("text"))
             sha = lambda b: hashlib.sha256(b).hexdigest()
-            decoded = [_as_text(decoded[s:e]) for s, e in zip(t, t[1:])]
-            yield pa.RecordBatch.from_arrays([piece.column(id_column), pa.array(np.diff(ids) // 4, pa.int64()), pa.array([sha(decimals[s : e - 1] if e > s else b"") for s, e in zip(d, d[1:])]), pa.array([sha(b) for b in decoded])], schema=schema)
+            decimals, decoded = memoryview(decimals), memoryview(decoded)
+            decoded = [_as_text(decoded[s:e]) for s, e in zip(t.tolist(), t[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([piece.column(id_column), pa.array(np.diff(ids) // 4, pa.int64()), pa.array([sha(decimals[s : max(s, e - 1)]) for s, e in zip(d.tolist(), d[1:].tolist())]), pa.array([sha(b) for b in decoded])], schema=schema)
 
     return run
 
 
-def _as_text(b: bytes) -> bytes:
+def _as_text(b: bytes | memoryview) -> bytes:
     """As the decoder does, what isn't UTF-8 becomes replacement characters."""
-    try:
-        b.decode()
-        return b
-    except UnicodeDecodeError:
-        return b.decode(errors="replace").encode()
+    return str(b, "utf-8", "replace").encode()
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -203,11 +249,11 @@ def _ids(name: str, end_id: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = FragmentEncoder.of(SparkFiles.get(name), digests=False)
-        for piece in text_pieces(batches, "text", 2 << 20):
+        for piece in text_pieces(batches, "text", 4 << 20):
             ids, ends = encoder.encode(piece.column("text"))[0]
             ids, ends = np.frombuffer(ids, np.int32), ends // 4
             if end_id is not None:
-                ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+                ids, ends = with_end(ids, ends, end_id)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], schema=schema)
 
     return run
@@ -230,8 +276,7 @@ def _texts(name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = FragmentEncoder.of(SparkFiles.get(name), digests=False)
-        table = [encoder.bytes_of.get(i, b"") for i in range(max(encoder.bytes_of) + 1)]
-        vocabulary = pa.array(table, pa.large_binary())
+        vocabulary = encoder.vocabulary
         for batch in batches:
             for row in range(batch.num_rows):
                 ids = batch.column("ids").slice(row, 1).flatten()

@@ -19,7 +19,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import FragmentEncoder, share_tokenizer
+from .bpe import FragmentEncoder, share_tokenizer, with_end
 from .common import ship_package, text_pieces
 
 ROW_GROUP_BYTES = 32 << 20
@@ -48,10 +48,9 @@ def _rows(name: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = FragmentEncoder.of(SparkFiles.get(name), digests=False)
         part, before = TaskContext.get().partitionId(), 0
-        for piece in text_pieces(batches, "text", 1 << 20):
+        for piece in text_pieces(batches, "text", 4 << 20):
             ids, ends = encoder.encode(piece.column("text"))[0]
-            ids, ends = np.frombuffer(ids, np.int32), ends // 4
-            ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+            ids, ends = with_end(np.frombuffer(ids, np.int32), ends // 4, end_id)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.full(piece.num_rows, part, np.int32)), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], schema=schema)
             before += int(ends[-1])
 

@@ -109,3 +109,25 @@ def test_token_files_of_edges(spark, tmp_path):
     assert got == [(None, 0, 2), (1, 2, 1), (2, 3, 2), (2, 5, 2), (2, 7, 2)]
     token_store.write_tokens(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"), PATH)
     assert token_store.checksums(token_store.read_tokens(spark, str(tmp_path / "none"))).collect() == []
+
+
+def test_scripts_of_three_and_four_bytes_are_cut():
+    encoder = bpe.FragmentEncoder.of(PATH, digests=False)
+    for text in ("統計学的機械翻訳" * 400, "ภาษาไทยง่ายนิดเดียว" * 400, "𠮷野家🙂👍🏽" * 400, "한국어 문장입니다" * 400):
+        data, offsets = bpe.text_buffer(pa.array([text]))
+        assert max(b - a for a, b in zip(encoder.cuts(data, offsets), encoder.cuts(data, offsets)[1:])) < 400
+        assert fragments([text]) == [whole(text)[0]]
+    wide = [f"漢{s}字 漢{s}{s} 字{s}" for s in "\u0085        　"]
+    assert fragments(wide) == [whole(t)[0] for t in wide]
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 4000)
+    encoder = bpe.FragmentEncoder(PATH)
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = ["".join(rng.choices("abcdeé漢 ,.", k=200)) for _ in range(5)]
+        ids, ends = encoder.encode(pa.array(texts))[0]
+        numbers = memoryview(ids).cast("I").tolist()
+        assert [numbers[s // 4 : e // 4] for s, e in zip(ends, ends[1:])] == [whole(t)[0] for t in texts]
+        assert sum(x.nbytes for x in (encoder.keys, *encoder.values)) <= 8000
