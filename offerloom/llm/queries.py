@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tokenizer_file() -> str:
-    return corpus_pipeline.tokenizer_file()
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +49,13 @@ def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
-def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.lm_scores(_read(spark, sf_dir, "documents"))
+def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = word_score.word_scores(_read(spark, sf_dir, "documents"))
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
-def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = word_score.word_scores(_read(spark, sf_dir, "documents"))
+def byte_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.lm_scores(_read(spark, sf_dir, "documents"))
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
@@ -71,19 +72,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_word_backoff, op7_stupid_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_word_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup, byte_backoff)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that have one. Repeated substrings, BPE, its files, and
     secrets (which look behind and ahead) can't be written in DuckDB's."""
     found = {
-        "pipeline": corpus_pipeline.ORACLE_SQL,
         "op1_benchmark_decontamination": sql.contained_items(k=5, threshold=0.8),
         "op2_warc_revisits": sql.revisits(least_bytes=100),
         "op3_risk_controlled_quality": sql.quality_rules(),
         "op7_word_backoff": sql.word_scores(),
-        "op7_stupid_backoff": sql.backoff_scores(),
+        "byte_backoff": sql.backoff_scores(),
         "op9_license_dice": sql.license_matches(),
         "op10_minhash_near_dedup": sql.near_duplicates(k=4, percent=80),
     }

@@ -9,16 +9,21 @@
 Words are what ASCII white space parts, as they are written; the first two words
 of a document have no more context than there is. N counts all documents.
 
-Documents are dealt by hash into blocks of bounded size. A block counts its own
-n-grams first, so an n-gram leaves it once, however hot: no n-gram has more rows
-than there are blocks. N-grams are known by 64-bit hashes; ranges of these are
-the partitions of the count table. A block sends each range its sorted hashes (as
-differences) and counts, and gets back the corpus counts in the same order.
+Documents are dealt into blocks of bounded size; a block explodes its texts into
+n-grams and counts them, so an n-gram leaves it once, however hot, and no n-gram
+has more rows than there are blocks. N-grams are known by 64-bit hashes; ranges of
+these are the partitions of the count table. Two joins on the range follow, each
+of a block's sorted hashes (as differences) with those of all other blocks:
+
+1. By the first bits of each hash only: what no other occurrence shares has count
+   1, which about half of all n-grams have, and is done with.
+2. By the whole hash, for the rest: the corpus counts come back in the order sent.
+
+Scores are summed for each document in its block.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -27,11 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship_package, text_buffer
+from .shingles import word_hashes
 
 MIN_COUNT = 2
 BACKOFF = 0.4
 BLOCK_BYTES = 12 << 20
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
+#: Bits of a hash in the first join beyond those that number all n-grams: one
+#: n-gram in 16 or fewer goes on without need.
+SPARE_BITS = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,29 +50,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the number of words of each text."""
-    solid = (data != 32) & ((data < 9) | (data > 13))
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1] | edge[1:-1]
-    last[:-1] &= ~solid[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sizes = np.diff(np.searchsorted(starts, offsets))
-    # words and the gaps between them take turns over one buffer
-    cuts = np.column_stack([starts, ends]).ravel().astype(np.int64)
-    turns = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(0, len(cuts) - 1), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = turns.dictionary_encode()
-    known = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
-    return known[coded.indices.to_numpy()[::2]] if len(cuts) else np.zeros(0, np.uint64), sizes
-
-
 def _grams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the n-grams of orders 1, 2 and 3 that end at each word, one
     order after the other, the words of each text, and whether an n-gram lies
     within its text."""
-    words, sizes = _hashed(*text_buffer(texts))
+    words, firsts = word_hashes(*text_buffer(texts), lower=False)
+    sizes = np.diff(firsts)
     left = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams = np.zeros(3 * len(words), np.uint64)
     one, two, three = grams.reshape(3, -1)
@@ -91,34 +83,90 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _sender(ranges: int):
+def _counted(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block, sorted, and how often it has each."""
+    grams, _, inside = _grams(texts)
+    grams = grams[inside]
+    grams.sort()
+    first = np.flatnonzero(_new(grams))
+    return grams[first], np.diff(first, append=len(grams))
+
+
+def _cuts(grams: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, start, end) of the ranges that sorted n-grams fall in."""
     bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    cuts = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
+    return [(i, s, e) for i, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
+
+
+def _sent(docs: pa.Table, columns: dict[str, list]) -> pa.Table:
+    """Rows of one block for each of the ranges listed."""
+    block = docs.column("block")[0].as_py() if docs.num_rows else 0
+    types = {"range": pa.int32(), "block": pa.int32()}
+    columns |= {"block": [block] * len(columns["range"])}
+    return pa.table({c: pa.array(columns[c], types.get(c, pa.binary())) for c in ["range", "block", *sorted(set(columns) - set(types))]})
+
+
+def _steps(grams: np.ndarray) -> bytes:
+    return _pack(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _sum(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=np.uint64)
+
+
+def _bits(again: np.ndarray) -> bytes:
+    return len(again).to_bytes(8, "little") + np.packbits(again).tobytes()
+
+
+def _again(b: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8, offset=8), count=int.from_bytes(b[:8], "little")).astype(bool)
+
+
+def _short(ranges: int, bits: int):
+    """The first bits of each n-gram, and whether its block has it twice."""
 
     def send(docs: pa.Table) -> pa.Table:
-        grams, _, inside = _grams(docs.column("text"))
-        grams = grams[inside]
-        grams.sort()
-        first = np.flatnonzero(_new(grams))
-        n, grams = np.diff(first, append=len(grams)), grams[first]
-        del first
-        cuts = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
-        used = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
-        block = docs.column("block")[0].as_py()
-        keys = [_pack(np.diff(grams[cuts[i] : cuts[i + 1]], prepend=np.uint64(0))) for i in used]
-        return pa.table({"range": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()), "grams": pa.array(keys, pa.binary()), "n": pa.array([_pack(n[cuts[i] : cuts[i + 1]]) for i in used], pa.binary())})
+        grams, n = _counted(docs.column("text"))
+        short = (grams >> np.uint64(64 - bits)) << np.uint64(1) | (n > 1).astype(np.uint64)
+        used = _cuts(grams, ranges)
+        return _sent(docs, {"range": [i for i, *_ in used], "grams": [_steps(short[s:e]) for _, s, e in used]})
+
+    return send
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """For each block, which of the short n-grams that it sent occur again."""
+    sent = list(map(_sum, table.column("grams").to_pylist()))
+    every = np.concatenate(sent)
+    _, which = np.unique(every >> np.uint64(1), return_inverse=True)
+    again = np.bincount(which, weights=1 + (every & np.uint64(1)))[which] > 1
+    parts = np.split(again, np.cumsum([len(g) for g in sent])[:-1])
+    return pa.table({"range": table.column("range"), "block": table.column("block"), "again": pa.array(map(_bits, parts), pa.binary())})
+
+
+def _whole(ranges: int):
+    """The n-grams that occur again, whole, with the block's own counts."""
+
+    def send(docs: pa.Table, flags: pa.Table) -> pa.Table:
+        grams, n = _counted(docs.column("text"))
+        known = dict(zip(flags.column("range").to_pylist(), flags.column("again").to_pylist()))
+        used = [(i, known[i], grams[s:e], n[s:e]) for i, s, e in _cuts(grams, ranges)]
+        masks = [_again(b) for _, b, *_ in used]
+        return _sent(docs, {"range": [i for i, *_ in used], "again": [b for _, b, *_ in used], "grams": [_steps(g[m]) for m, (*_, g, _) in zip(masks, used)], "n": [_pack(c[m]) for m, (*_, c) in zip(masks, used)]})
 
     return send
 
 
 def _count(table: pa.Table) -> pa.Table:
     """The corpus counts of one range, for each block in the order it sent."""
-    grams = [np.cumsum(_unpack(g), dtype=np.uint64) for g in table.column("grams").to_pylist()]
+    sent = list(map(_sum, table.column("grams").to_pylist()))
     n = np.concatenate([_unpack(b) for b in table.column("n").to_pylist()])
-    _, which = np.unique(np.concatenate(grams), return_inverse=True)
+    _, which = np.unique(np.concatenate(sent), return_inverse=True)
     # sums of doubles are exact up to 2 ** 53
     totals = np.bincount(which, weights=n).astype(np.uint64)[which]
-    parts = np.split(totals, np.cumsum([len(g) for g in grams])[:-1])
-    return pa.table({"range": table.column("range"), "block": table.column("block"), "totals": pa.array(map(_pack, parts), pa.binary())})
+    parts = np.split(totals, np.cumsum([len(g) for g in sent])[:-1])
+    return pa.table({"range": table.column("range"), "block": table.column("block"), "again": table.column("again"), "totals": pa.array(map(_pack, parts), pa.binary())})
 
 
 def _scorer(min_count: int, backoff: float):
@@ -137,9 +185,12 @@ def _scorer(min_count: int, backoff: float):
         order = np.argsort(grams)
         which = np.cumsum(_new(grams[order]), dtype=np.int32) - 1
         del grams
-        totals = np.concatenate([_unpack(b.as_py()) for b in counts.sort_by("range").column("totals")])
+        counts = counts.sort_by("range")
+        again = np.concatenate(list(map(_again, counts.column("again").to_pylist())))
+        totals = np.ones(len(again))  # what did not come back occurs once
+        totals[again] = np.concatenate(list(map(_unpack, counts.column("totals").to_pylist())))
         n[np.flatnonzero(inside)[order]] = totals[which]
-        del order, which, totals
+        del order, which, totals, again
         one, two, three = n.reshape(3, -1)
         has_two, has_three = inside.reshape(3, -1)[1:]
         by_three = has_three & (three >= min_count)
@@ -168,9 +219,13 @@ def word_scores(docs: DataFrame, min_count: int = MIN_COUNT, backoff: float = BA
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     blocks, ranges = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / range_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    sent = dealt.groupBy("block").applyInArrow(_sender(ranges), "range int, block int, grams binary, n binary")
-    counts = sent.groupBy("range").applyInArrow(_count, "range int, block int, totals binary")
+    bits = min(62, max(8, (3 * total).bit_length() + SPARE_BITS))
+    # rows are dealt by place, so that equal rows don't share a block
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    short = dealt.groupBy("block").applyInArrow(_short(ranges, bits), "range int, block int, grams binary")
+    flags = short.groupBy("range").applyInArrow(_shared, "range int, block int, again binary")
+    whole = dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_whole(ranges), "range int, block int, again binary, grams binary, n binary")
+    counts = whole.groupBy("range").applyInArrow(_count, "range int, block int, again binary, totals binary")
     scored = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_scorer(min_count, backoff), "doc_id bigint, n_words bigint, n_single bigint, part double")
     scored = materialize(scored, "word-scores")
     words = scored.agg(F.sum("n_words")).first()[0] or 1
