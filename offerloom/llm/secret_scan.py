@@ -7,6 +7,10 @@ account name, a short or bare secret, an endpoint) are reported only when parts
 that complete them lie within ``SCOPE`` code points: an interval join on blocks
 of the text, as a semi-join, so that a part is told once whatever its number of
 partners.
+
+Expressions that carry a sum or a maximum along an array do so within runs of a
+bounded length, the runs' own totals first, so that a text with a million spans
+costs little more for each than one with ten.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, keep_ids, materialize
+from .common import drop_ids, hot_limit, join_one_row_per_key, keep_ids, materialize
 
 #: The strong kinds, in order; group and least length that count.
 STRONG = {
@@ -40,21 +44,54 @@ BLOCK = 1024
 _SPAN = "array<struct<start:int,end:int>>"
 
 
+#: Elements of an array in a run.
+RUN = 512
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _carried(rows: Column, value, join, emit) -> Column:
+    """flatten(emit(row, what value() of all rows before it join()s to)).
+
+    ``value`` gives an int of a row, ``join`` puts two ints together and is
+    associative with 0 as its unit.
+    """
+    zero = F.lit(0)
+
+    def along(items: Column, start: Column, of) -> Column:
+        """What stands before each item, as an array."""
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("seen"))
+        step = lambda acc, x: F.struct(join(acc["at"], of(x)).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen"))
+        return F.aggregate(items, begin, step)["seen"]
+
+    def cut(rows: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(rows) / RUN).cast("int") - 1, zero)
+        return F.transform(F.sequence(zero, last), lambda k: F.slice(rows, k * RUN + 1, RUN))
+
+    def carry(runs: Column) -> Column:
+        whole = F.transform(runs, lambda run: F.aggregate(run, zero, lambda at, r: join(at, value(r))))
+        placed = F.arrays_zip(runs.alias("run"), along(whole, zero, lambda x: x).alias("start"))
+        return F.flatten(F.transform(placed, lambda x: _let(along(x["run"], x["start"], value), lambda before: emit(x["run"], before))))
+
+    return _let(rows, lambda rows: _let(cut(rows), carry))
+
+
 def _offsets(text: Column, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, end>> of the matches whose group is long enough."""
     gaps = F.transform(F.split(text, pattern), lambda x: F.length(x))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     rows = F.arrays_zip(gaps.alias("gap"), F.transform(found, lambda x: F.length(x)).alias("size"), F.transform(held, lambda x: F.length(x) >= least).alias("ok"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(acc: Column, r: Column) -> Column:
-        start = acc["at"] + r["gap"]
-        end = start + F.coalesce(r["size"], F.lit(0))
-        spans = F.when(r["ok"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    def spans(run: Column, before: Column) -> Column:
+        at = lambda r, i: F.get(before, i) + r["gap"]
+        every = F.transform(run, lambda r, i: F.struct(at(r, i).alias("start"), (at(r, i) + r["size"]).alias("end"), r["ok"].alias("ok")))
+        return F.transform(F.filter(every, lambda s: s["ok"]), lambda s: F.struct(s["start"], s["end"]))
 
-    return F.aggregate(rows, begin, step)["spans"]
+    return _carried(rows, lambda r: r["gap"] + F.coalesce(r["size"], F.lit(0)), lambda a, b: a + b, spans)
 
 
 def _hinted(lower: Column, hints: list[str]) -> Column:
@@ -108,20 +145,22 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = _found(docs.withColumn("rid", F.xxhash64("doc_id", "text"))).drop("text")
-    found = found.select("doc_id", "rid", *STRONG, _labelled(list(STRONG)).alias("strong"), _labelled(list(WEAK)).alias("all_weak"))
-    covered = lambda w: F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    found = found.withColumn("weak", F.filter("all_weak", lambda w: ~covered(w))).withColumn("covered", F.filter("all_weak", covered))
-    found = materialize(found.drop("all_weak"), "secrets")
+    # ``place`` tells equal rows apart where they must be dealt out
+    found = found.select("doc_id", "rid", F.monotonically_increasing_id().alias("place"), *STRONG, _labelled(list(STRONG)).alias("strong"), _labelled(list(WEAK)).alias("weak"))
+    found = materialize(found, "secrets")
 
     role = F.get(F.array(*[F.lit(ROLE[k]) for k in ORDER]), F.col("rank"))
     held = found.filter(F.size("weak") > 0)
-    own = held.select("rid", F.explode("weak").alias("s"), F.lit(True).alias("own"))
-    parts = own.union(held.select("rid", F.explode(F.concat("strong", "covered")), F.lit(False))).select("rid", "s.*", "own")
-    parts = parts.withColumn("role", role).distinct()
-    parts = materialize(parts, "parts")
+    parts = held.select("rid", F.explode(F.concat("strong", "weak")).alias("s")).select("rid", "s.*").distinct()
+    parts = materialize(parts.withColumn("role", role), "parts")
     blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / BLOCK), F.floor(hi / BLOCK)))
-    weak = parts.filter("own")
-    reach = weak.withColumn("block", blocks(F.greatest(F.col("start") - SCOPE, F.lit(0)), F.col("end") + SCOPE)).alias("w")
+    weak = parts.filter(F.col("rank") >= len(STRONG))
+    strong = parts.filter(F.col("rank") < len(STRONG)).withColumn("block", blocks(F.col("start"), F.col("end"))).alias("p")
+    spread = weak.withColumn("block", blocks(F.col("start"), F.col("end"))).alias("w")
+    over = (F.col("w.rid") == F.col("p.rid")) & (F.col("w.block") == F.col("p.block")) & (F.col("p.start") < F.col("w.end")) & (F.col("w.start") < F.col("p.end"))
+    covered = spread.join(strong, over, "left_semi").select("rid", "start", "rank", "end").distinct()
+    own = materialize(weak.join(covered, ["rid", "start", "rank", "end"], "left_anti"), "weak")
+    reach = own.withColumn("block", blocks(F.greatest(F.col("start") - SCOPE, F.lit(0)), F.col("end") + SCOPE)).alias("w")
 
     def beside(want: str) -> DataFrame:
         """Weak parts with a part of the role ``want`` in their scope."""
@@ -134,7 +173,9 @@ def scan(docs: DataFrame) -> DataFrame:
     complete = F.when(F.col("role") == "id", has("secret")).when(F.col("role") == "secret", has("id") | has("endpoint")).otherwise(has("id") & has("secret"))
     told = linked.filter(complete).groupBy("rid").agg(F.collect_list(F.struct("start", "rank", "end")).alias("more"))
 
-    out = found.join(told, "rid", "left").withColumn("found", F.sort_array(F.when(F.col("more").isNull(), F.col("strong")).otherwise(F.concat("strong", "more"))))
+    told = told.join(held.groupBy("rid").agg(F.count(F.lit(1)).alias("rows")), "rid")
+    out = join_one_row_per_key(found, told, ["rid"], "rows", hot_limit(found.count()), "place", how="left")
+    out = out.withColumn("found", F.sort_array(F.when(F.col("more").isNull(), F.col("strong")).otherwise(F.concat("strong", "more"))))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in STRONG]
     return out.select("doc_id", *counts, F.sha2(_told(F.col("strong")), 256).alias("base_sha256"), _told(F.col("found")).alias("spans"), "found", "rid")
 
@@ -145,18 +186,22 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     Overlapping spans become one marker. A null text stays null; all columns
     stay as they are.
     """
-    found = scan(docs).filter(F.size("found") > 0).select(F.col("rid").alias("__rid"), F.col("found").alias("__found")).dropDuplicates(["__rid"])
+    found = scan(docs).filter(F.size("found") > 0).groupBy(F.col("rid").alias("__rid")).agg(F.first("found").alias("__found"), F.count(F.lit(1)).alias("__rows"))
     found = materialize(found, "redactions")
-    keyed = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))))
-    joined = keep_ids(keyed, found, "__rid").join(found, "__rid")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        grown = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(marker))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), grown.alias("out"))
-
-    done = joined.withColumn("__done", F.aggregate("__found", begin, step))
-    rest = F.substring(F.col("text"), F.col("__done.at") + 1, F.length("text"))
-    done = done.withColumn("text", F.concat(F.col("__done.out"), rest)).select(*docs.columns)
+    keyed = docs.withColumns({"__rid": F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))), "__place": F.monotonically_increasing_id()})
+    hot = hot_limit(found.agg(F.sum("__rows")).first()[0] or 0)
+    joined = join_one_row_per_key(keep_ids(keyed, found, "__rid"), found, ["__rid"], "__rows", hot, "__place")
+
+    def pieces(run: Column, before: Column) -> Column:
+        """The text before each span of a run, from the end of those before it."""
+        # a position is found by reading from the start: of the run's stretch here
+        first = F.get(before, 0)
+        stretch = F.array(F.substring(F.col("text"), first + 1, F.greatest(F.element_at(run, -1)["end"] - first, F.lit(0))))
+        gap = lambda t, s, i: F.concat(F.substring(t, F.get(before, i) - first + 1, s["start"] - F.get(before, i)), F.lit(marker))
+        cut = lambda t: F.transform(run, lambda s, i: F.when(s["start"] >= F.get(before, i), gap(t, s, i)).otherwise(""))
+        return F.get(F.transform(stretch, cut), F.lit(0))
+
+    cuts = _carried(F.col("__found"), lambda s: s["end"], lambda a, b: F.greatest(a, b), pieces)
+    rest = F.substring(F.col("text"), F.array_max(F.transform("__found", lambda s: s["end"])) + 1, F.length("text"))
+    done = joined.withColumn("text", F.concat(F.array_join(cuts, ""), rest)).select(*docs.columns)
     return drop_ids(keyed, found, "__rid").select(*docs.columns).unionByName(done)

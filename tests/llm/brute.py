@@ -115,6 +115,32 @@ def base_secrets(text: str | None) -> tuple[dict[str, int], str]:
     return counts, sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans)).encode())
 
 
+def linked_secrets(text: str | None, weak: dict[str, str], role: dict[str, str], scope: int) -> str:
+    """Strong spans, and the weak ones that complete others, told as text."""
+    text, order = text or "", [*BASE, *weak]
+    strong = {(m.start(), order.index(k), m.end()) for k, (p, group, least) in BASE.items() for m in p.finditer(text) if len(m[group]) >= least}
+    other = {(m.start(), order.index(k), m.end()) for k, p in weak.items() for m in re.finditer(p, text, re.ASCII)}
+    told = set(strong)
+    for s, rank, e in other:
+        if any(a < e and s < b for a, _, b in strong):
+            continue
+        own = role[order[rank]]
+        beside = {role[order[r]] for a, r, b in strong | other if a <= e + scope and b >= s - scope} - {own}
+        if {"id": "secret" in beside, "secret": bool(beside & {"id", "endpoint"}), "endpoint": beside >= {"id", "secret"}}[own]:
+            told.add((s, rank, e))
+    return ",".join(f"{order[r]}:{s}:{e}" for s, r, e in sorted(told))
+
+
+def redacted(text: str | None, spans: str, marker: str) -> str | None:
+    out, at = [], 0
+    for span in filter(None, spans.split(",")):
+        s, e = map(int, span.split(":")[1:])
+        if s >= at:
+            out += [text[at:s], marker]
+        at = max(at, e)
+    return None if text is None else "".join(out) + text[at:]
+
+
 def backoff(texts: list[str | None], order: int, least: int, factor: float) -> list[float]:
     data = [b"\0" * (order - 1) + (t or "").encode() for t in texts]
     tables = {k: Counter(d[i - k + 1 : i + 1] for d in data for i in range(order - 1, len(d))) for k in range(1, order + 1)}
