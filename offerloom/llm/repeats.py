@@ -8,8 +8,10 @@ tables. A SPAN-byte string's equals all lie in phrases with the same trigger:
 - A phrase that the dictionary has twice or more repeats as a whole.
 - What is left are distinct phrases that share a trigger, about four for each
   edit of a copy. The strings of each of these, once per dictionary entry, are
-  hashed to 64 bits and equal hashes counted. All strings of a phrase hold its
-  trigger, so what repeats of it is one stretch, from first to last.
+  hashed and equal pairs of trigger's and string's hash (64 bits each) counted.
+  All strings of a phrase hold its trigger, so what repeats of it is one stretch,
+  from first to last. A trigger in a great many contexts has its strings counted
+  before they are shuffled, and the counts dealt back by a salt.
 
 There is no suffix array, neither of the dictionary nor of the parse: to remove
 repeats it takes which strings are equal and not their order, and equal hashes
@@ -53,16 +55,16 @@ def _parse(span: int):
 
 
 def _strings(span: int):
-    """A row for each string of the phrases listed with a text: its hash, and
-    the phrase's number with the distance to the trigger."""
-    schema = pa.schema([("w", pa.int64()), ("key", pa.int64())])
+    """A row for each string of the phrases listed with a text: the trigger's
+    hash, its own, and the phrase's number with the distance to the trigger."""
+    schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_pieces(batches, "text", PIECE):
             for i in range(piece.num_rows):
                 data, _ = text_buffer(piece.column("text").slice(i, 1))
                 listed = piece.column("spots").slice(i, 1).flatten()
-                number, place = (listed.field(k).to_numpy() for k in (0, 1))
+                number, place, h = (listed.field(k).to_numpy() for k in (0, 1, 2))
                 trigger, far, near = place >> 16, (place >> 8) & 255, place & 255
                 count = far - near + 1
                 which = np.repeat(np.arange(len(count)), count)
@@ -70,7 +72,7 @@ def _strings(span: int):
                 starts = trigger[which] - back
                 lo = int(starts.min()) if len(starts) else 0
                 sums = prefix_sums(data[lo : int(starts.max()) + span])
-                yield pa.RecordBatch.from_arrays([pa.array(substring_hashes(sums, starts - lo, span).view(np.int64)), pa.array((number[which] << 8) | back)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h[which]), pa.array(substring_hashes(sums, starts - lo, span).view(np.int64)), pa.array((number[which] << 8) | back)], schema=schema)
 
     return run
 
@@ -103,6 +105,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], schema=schema)
 
 
+def _again(docs: DataFrame, entries: DataFrame, span: int, hot: int) -> DataFrame:
+    """(h, w, key) of the strings that the dictionary has more than once."""
+
+    def strings(chosen: DataFrame) -> DataFrame:
+        spots = chosen.groupBy("rid").agg(F.collect_list(F.struct("number", "place", "h")).alias("spots"))
+        texts = keep_ids(docs, chosen, "rid").dropDuplicates(["rid"]).join(spots, "rid")
+        return texts.select("text", "spots").mapInArrow(_strings(span), "h bigint, w bigint, key bigint")
+
+    # at most total / hot triggers have so many entries
+    crowded = materialize(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h"), "crowded")
+    cold = strings(entries.join(F.broadcast(crowded), "h", "left_anti"))
+    few = cold.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h", "w"))).filter("c > 1").drop("c")
+    if crowded.isEmpty():
+        return few
+    many = materialize(strings(entries.join(F.broadcast(crowded), "h", "left_semi")), "strings")
+    counts = many.groupBy("w", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return few.union(join_one_row_per_key(many, counts, ["w", "h"], "c", hot, "key").select("h", "w", "key"))
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(rid, starts, ends, n_removed, n_spans) of the texts that repeat.
 
@@ -120,17 +141,15 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     entries = mixed.groupBy("h", "v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "place")).alias("at"))
     entries = materialize(entries.select("h", "v", "c", "at.rid", "at.place", F.monotonically_increasing_id().alias("number")), "dictionary")
 
-    spots = entries.groupBy("rid").agg(F.collect_list(F.struct("number", "place")).alias("spots"))
-    texts = keep_ids(docs, entries, "rid").dropDuplicates(["rid"]).join(spots, "rid")
-    strings = texts.select("text", "spots").mapInArrow(_strings(span), "w bigint, key bigint")
-    again = strings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w"))).filter("c > 1")
+    again = _again(docs, entries, span, hot)
     stretch = again.groupBy(F.shiftright("key", 8).alias("number")).agg(F.max(F.col("key").bitwiseAND(255)).alias("far"), F.min(F.col("key").bitwiseAND(255)).alias("near"))
     trigger, far, near = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     whole = lambda df: df.select("rid", (trigger - far).alias("start"), (trigger - near + span).alias("end"))
     single = entries.filter("c = 1").join(stretch, "number").select("rid", (trigger - F.col("far")).alias("start"), (trigger - F.col("near") + span).alias("end"))
     many = join_one_row_per_key(mixed, entries.filter("c > 1").select("h", "v", "c"), ["h", "v"], "c", hot, "rid")
     spans = whole(found.filter("lo = hi")).union(whole(many)).union(single)
-    grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # rows that repeat a rid have the same spans, which are then kept once
+    grouped = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return grouped.mapInArrow(_merge, "rid bigint, starts array<bigint>, ends array<bigint>, n_removed bigint, n_spans bigint")
 
 
@@ -147,11 +166,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     spans = materialize(repeated_spans(docs.select("rid", "text"), span), "spans")
-    plain = docs.select("doc_id", "rid", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
-    marked = materialize(plain.join(spans.select("rid", "n_removed", "n_spans"), "rid", "left"), "marked")
+    plain = docs.select("doc_id", "rid", F.monotonically_increasing_id().alias("place"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
+    plain = materialize(plain, "plain")
+    rows, hot = plain.groupBy("rid").agg(F.count(F.lit(1)).alias("rows")), hot_limit(plain.count())
+    marked = materialize(join_one_row_per_key(plain, spans.select("rid", "n_removed", "n_spans").join(rows, "rid"), ["rid"], "rows", hot, "place", how="left"), "marked")
     part = marked.filter("n_removed < n_bytes").select("rid").distinct()
     cut = keep_ids(docs.select("rid", "text"), part, "rid").dropDuplicates(["rid"]).join(spans.select("rid", "starts", "ends").join(part, "rid", "left_semi"), "rid")
     kept = cut.mapInArrow(_kept, "rid bigint, kept binary, kept_sha256 string").select("rid", "kept_sha256")
-    out = marked.join(kept, "rid", "left")
+    out = join_one_row_per_key(marked, kept.join(rows, "rid"), ["rid"], "rows", hot, "place", how="left")
     sha = F.when(F.col("n_removed").isNull(), F.col("sha")).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256"))
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), sha.alias("kept_sha256"))

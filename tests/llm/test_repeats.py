@@ -67,3 +67,12 @@ def test_phrases_hold_each_string_once():
     found = sorted((t, s) for t, f, e in zip(text, first, last) for s in range(f, e + 1))
     assert found == [(t, s) for t, n in enumerate(np.diff(ends)) for s in range(n - 199)]
     assert ((first <= last) & (last <= trigger) & (trigger <= first + 200 - phrases.K)).all()
+
+
+def test_one_passage_in_many_contexts(spark, monkeypatch):
+    """Triggers and rows beyond the bound take the salted ways."""
+    monkeypatch.setattr(repeats, "hot_limit", lambda rows: 3)
+    rng = random.Random(10)
+    passage = fresh(rng, 230)
+    texts = [fresh(rng, 60) + passage + fresh(rng, 60) for _ in range(60)] + [passage] * 9 + [fresh(rng, 300)] * 7
+    check(spark, texts)
