@@ -4,7 +4,8 @@
    its set of word shingles, and the hashes of its MinHash bands. The MinHash is
    one-permutation hashing (Li, Owen and Zhang, 2012) with optimal densification
    (Shrivastava, 2017).
-2. Documents with equal sets form a class; only its smallest id goes on.
+2. Documents with equal sets form a class, which has a number of its own and
+   goes on as one node. Classes that share a document id are one document's.
 3. Band hashes are buckets. Each bucket links its members to one centre, the
    member that shares most buckets with others, so a bucket of m members gives
    m - 1 candidates and not m * (m - 1) / 2.
@@ -35,8 +36,8 @@ from .shingles import distinct_shingles, mix
 #: probability (1 - 0.8 ** 5) ** 32 = 3e-6, one at 0.9 with 2e-13.
 BANDS, BAND_ROWS = 32, 5
 BINS = BANDS * BAND_ROWS
-#: Members of a star in a block of step 5.
-BLOCK = 512
+#: Members of a star in a block of step 5, and shingles of their sets.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 _PROBES = np.random.default_rng(5).integers(0, BINS, (4096, BINS))
 
@@ -77,8 +78,14 @@ def band_hashes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
-def _features(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: What tells a class: the size of its set and a digest of two numbers.
+CLASS = ["d1", "d2", "n_shingles"]
+_DIGEST = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint"
+
+
+def _digested(k: int, last: str, values):
+    """The digest of each text's set, and what ``values`` makes of the sets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), (last, pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_pieces(batches, "text"):
@@ -89,22 +96,19 @@ def _features(k: int):
             if some.any():
                 for salt, out in enumerate(sums):
                     out[some] = np.add.reduceat(mix(shingles, 3 + salt), offsets[:-1][some])
-            bands = band_hashes(shingles, offsets).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(some) * BANDS]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], schema=schema)
+            ends, listed = values(shingles, offsets)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(listed.view(np.int64)))], schema=schema)
 
     return run
 
 
-def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def _bands(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.concatenate([[0], np.cumsum(np.diff(offsets) > 0) * BANDS])
+    return ends, band_hashes(shingles, offsets).ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_pieces(batches, "text"):
-            shingles, offsets = distinct_shingles(*text_buffer(piece.column("text")), k)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(shingles.view(np.int64)))], schema=schema)
 
-    return run
+def _sets(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return offsets, shingles
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -117,8 +121,8 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("spread") / 128)).cast("bigint")
     pairs = pairs.withColumn("sub", F.xxhash64("a", part))
     keys = pairs.groupBy("a", "sub").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    centres = keys.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").select(F.col("sub").alias("s"), "left")
-    members = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+    centres = keys.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a").select(F.col("sub").alias("s"), "left")
+    members = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
     return members.join(centres, F.col("sub") == F.col("s")).drop("sub", "s")
 
 
@@ -193,12 +197,12 @@ def _rest(centred: DataFrame, roots: DataFrame, sets: DataFrame, hot: int, perce
     placed = join_one_row_per_key(placed, mixed.select("bucket", "rows"), ["bucket"], "rows", hot, "rep")
     pairs = placed.groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("spread"), F.first("root").alias("root"), F.first("size").alias("size"))
     pairs = materialize(pairs, "apart")
-    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("a_root"))
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("weight"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("a_root"))
     pairs = join_one_row_per_key(pairs, stars, ["a"], "rows", hot, "b")
     delta = F.concat(F.array_except("left", "right"), F.array_except("right", "left"))
-    known = _with_sets(pairs, sets).select("a", "b", "root", "size", "rows", (F.col("root") != F.col("a_root")).alias("outside"), delta.alias("delta"))
+    known = _with_sets(pairs, sets).select("a", "b", "root", "size", "rows", "weight", (F.col("root") != F.col("a_root")).alias("outside"), delta.alias("delta"))
     known = materialize(known, "differences")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("bigint")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("bigint")
     own, every = F.pmod(F.xxhash64("b"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     columns = ["b", "root", "size", "delta"]
     left = known.filter("outside").select("a", own.alias("i"), every.alias("j"), F.lit(True).alias("is_left"), *columns)
@@ -206,6 +210,19 @@ def _rest(centred: DataFrame, roots: DataFrame, sets: DataFrame, hot: int, perce
     return left.union(right).groupBy("a", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
 
 
+def _same_id(some: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a document id."""
+    own = F.struct(*CLASS)
+    clash = some.groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi").select("doc_id")
+    clash = materialize(clash, "clashes")
+    if clash.isEmpty():
+        return clash.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    rows = keep_ids(some, clash, "doc_id").select("doc_id", *CLASS).distinct()
+    rows = materialize(rows.join(classes.select("rep", *CLASS), CLASS).select("doc_id", "rep"), "shared-ids")
+    first = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("rows"))
+    return join_one_row_per_key(rows, first, ["doc_id"], "rows", hot, "rep").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose sets of k-word shingles are alike.
 
@@ -216,36 +233,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Words are lower-cased (A-Z) runs without ASCII white space.
 
     A null or wordless text has the empty set and is linked with nothing. Rows
-    that repeat an id get the same result each. A null id gives a null
-    component, kept. Other columns are ignored, whatever their names.
+    that repeat an id are one document, linked with what any of its texts is
+    linked with, and have one component; wordless ones among them have their own
+    id. A null id gives a null component, kept. Other columns are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    feats = materialize(docs.mapInArrow(_features(k), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>"), "minhash")
+    feats = materialize(docs.mapInArrow(_digested(k, "bands", _bands), _DIGEST + ", bands array<bigint>"), "minhash")
     hot = hot_limit(feats.count())
     some = feats.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = some.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "bands").join(classes.select("rep"), "rep", "left_semi")
+    classes = some.groupBy(*CLASS).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    # written at once, so that the numbers stay
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("rep", F.col("n_shingles").alias("size"), "bands")
 
     bands = reps.select("rep", "size", F.explode("bands").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(join_one_row_per_key(bands, buckets, ["bucket"], "n", hot, "rep"), "members")
     support = members.groupBy("rep").agg(F.sum("n").alias("support"))
     members = materialize(members.join(support, "rep"), "supported")
-    sets = materialize(keep_ids(docs, support.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id bigint, shingles array<bigint>"), "sets")
+    wanted = classes.join(support.select("rep"), "rep", "left_semi").select("rep", "doc_id", *CLASS)
+    texts = keep_ids(docs, wanted, "doc_id").withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"])
+    sets = texts.mapInArrow(_digested(k, "shingles", _sets), _DIGEST + ", shingles array<bigint>")
+    # where an id has several texts of one set, any of them will do
+    sets = materialize(sets.join(wanted, ["doc_id", *CLASS]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
 
     centred = _centred(members, hot)
     edges = materialize(_confirm(_star_pairs(centred, percent), sets, percent), "links")
     roots = connected_components(edges)
 
-    edges = edges.union(materialize(_rest(centred, roots, sets, hot, percent), "links"))
+    edges = edges.union(materialize(_rest(centred, roots, sets, hot, percent), "links")).union(_same_id(some, classes, hot))
     roots = connected_components(edges)
 
-    placed = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("component_id"), "copies")
-    wanted = feats.select("doc_id", "n_shingles", "d1", "d2")
-    out = join_one_row_per_key(wanted, placed, ["d1", "d2", "n_shingles"], "copies", hot, "doc_id", how="left")
+    joined = roots.join(classes.select(F.col("rep").alias("node"), "doc_id"), "node")
+    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    joined = join_one_row_per_key(joined, least, ["root"], "rows", hot, "node").select(F.col("node").alias("rep"), "component_id")
+    placed = classes.join(joined, "rep", "left").select(*CLASS, F.coalesce("component_id", "doc_id").alias("component_id"), "copies")
+    out = join_one_row_per_key(feats.select("doc_id", *CLASS), placed, CLASS, "copies", hot, "doc_id", how="left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -58,3 +58,12 @@ def test_nulls_ties_and_extra_columns(spark):
 
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a), (3, b + " more"), (4, "quite another text than these are"), (1, None)] + [(9, a)] * 5
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(order, SCHEMA)).collect()}
+        assert got == {(1, 56): (1, True), (2, 56): (1, False), (3, 57): (1, False), (4, 2): (4, True), (1, 0): (1, True), (9, 56): (1, False)}
