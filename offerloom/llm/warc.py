@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import gzip
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +42,18 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> Data
     return joined.select("page_id", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
+def _identity(page: F.Column, digest: F.Column) -> F.Column:
+    return F.concat(F.lit("<urn:pages:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.substring(digest, 1, 16))
+
+
 def _record(date: str) -> F.Column:
     """The text of a record up to the two line ends that close it."""
     nl = F.lit("\r\n")
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7F]", "%20")
-    identity = lambda page, digest: F.concat(F.lit("<urn:pages:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.substring(digest, 1, 16), F.lit(">"))
+    identity = lambda page, digest: F.concat(_identity(page, digest), F.lit(">"))
     response = F.col("record_type") == "response"
-    body = F.when(response, F.col("payload")).otherwise("")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END), F.col("payload"))
+    body = F.when(response, http).otherwise("")
     refers = F.when(response, "").otherwise(F.concat(F.lit("WARC-Refers-To: "), identity(F.col("refers_to"), F.col("payload_digest")), nl, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), nl,
@@ -53,20 +62,59 @@ def _record(date: str) -> F.Column:
         F.lit("WARC-Target-URI: "), uri, nl,
         F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"), nl,
         refers,
-        F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"),
+        F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"),
     )
-    return F.concat(head, F.lit(END), body)
+    return F.concat(head, F.lit(END), body, F.lit(END))
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI and the folder there, made if need be."""
+    store, folder = fs.FileSystem.from_uri(path) if re.match("[a-z0-9+]+:", path) else (fs.LocalFileSystem(), path)
+    store.create_dir(folder, recursive=True)
+    return store, folder
+
+
+def _writer(path: str, date: str):
+    """Write each partition's records to a file, a gzip member for each, so that
+    one can be read by itself. A file takes its name when it is whole; a task
+    that is run again writes the same one."""
+    schema = pa.schema([("file", pa.string()), ("records", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        store, folder = _store(path)
+        name = f"part-{context.partitionId():06d}.warc.gz"
+        at, seen = f"{folder}/_{name}.{context.taskAttemptId()}", Counter()
+        info = b"software: offerloom\r\nformat: WARC File Format 1.1\r\n"
+        first = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:file:{name}>\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}{END}".encode()
+        with store.open_output_stream(at, compression=None) as out:
+            out.write(gzip.compress(first + info + END.encode(), 6, mtime=0))
+            for batch in batches:
+                for identity, record in zip(batch.column("identity").to_pylist(), batch.column("value")):
+                    # rows that repeat a page and payload are in one file
+                    n = seen[identity] = seen[identity] + 1
+                    raw = record.as_py().encode()
+                    if n > 1:
+                        raw = raw.replace(f"{identity}>".encode(), f"{identity}:{n}>".encode(), 1)
+                    out.write(gzip.compress(raw, 6, mtime=0))
+        store.move(at, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seen.total()], pa.int64())], schema=schema)
+
+    return run
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Write one record for each row of (page_id, url, html) under ``path``.
 
     The payload is the html in UTF-8, empty where null. Records that revisit
-    another have no block. Files are plain text to Spark: the line separator is
-    the end of a record, so its writer commits them, compressed with gzip, and
-    any file system will do. Pages are dealt to as many files as their bytes call
-    for.
+    another have no block; those of a response are a header and the payload.
+    Each record is a gzip member with an id of its own, each file begins with a
+    warcinfo record. ``path`` is in a folder that all executors see, or a URI
+    that pyarrow opens (hdfs, s3, gs). Pages are dealt to as many files as their
+    bytes call for.
     """
+    ship_package(pages.sparkSession)
+    _store(path)
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     digest = F.sha2(F.encode("payload", "UTF-8"), 256)
     headers = pages.select("page_id", F.octet_length("payload").cast("bigint").alias("payload_bytes"), digest.alias("payload_digest"))
@@ -83,7 +131,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date
     records = own.select(pair, "*").repartition(*number, "pair").join(revisits.select(pair, "refers_to").repartition(*number, "pair"), "pair", "left")
     records = records.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("").alias("payload"), "payload_digest", "refers_to")
     records = records.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-    records.select(_record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    named = records.select(_identity(F.col("page_id"), F.col("payload_digest")).alias("identity"), _record(date).alias("value"))
+    materialize(named.mapInArrow(_writer(path, date), "file string, records bigint"), "warc-files")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,15 +153,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if (stop := bytes(data[at : at + step]).find(END.encode())) < 0 and at + step >= len(data):
                         raise ValueError("a WARC record has no end of headers")
                     step *= 4
-                row, length = [None] * 5, 0
+                row, length, http = [None] * 5, 0, False
                 for line in bytes(data[at : at + stop]).split(b"\r\n")[1:]:
                     name, _, value = line.partition(b":")
                     if (name := name.lower()) in names:
                         row[names[name]] = value.strip().decode()
                     elif name == b"content-length":
                         length = int(value)
+                    elif name == b"content-type":
+                        http = value.strip().startswith(b"application/http")
                 start = at + stop + 4
-                rows.append((*row, bytes(data[start : start + length])))
+                block = bytes(data[start : start + length])
+                rows.append((*row, block.partition(END.encode())[2] if http else block))
                 at, held = start + length + 4, held + length
                 if held > 4 << 20 or len(rows) >= 2000:
                     yield batch(rows)
@@ -123,8 +175,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, url, digest, refers, payload binary) of each
-    record, in no order. Blocks are taken by their Content-Length, whatever
-    they contain. A file is read in one task, so its size bounds the memory."""
+    record, in no order. Blocks are taken by their Content-Length, whatever they
+    contain; the header of an HTTP response is left out. A file is read in one
+    task, so its size bounds the memory."""
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("content")
     return files.mapInArrow(_parse, "record_id string, record_type string, url string, digest string, refers string, payload binary")

@@ -1,5 +1,5 @@
 import glob
-import gzip
+import zlib
 
 from offerloom.llm import warc
 
@@ -31,13 +31,36 @@ def test_round_trip(spark, tmp_path):
     assert round_trip(spark, df, str(tmp_path / "many"), file_bytes=300_000) == expected(rows)
 
 
+def members(path):
+    """The gzip members of a file, each decompressed by itself."""
+    raw, out = open(path, "rb").read(), []
+    while raw:
+        one = zlib.decompressobj(31)
+        out.append(one.decompress(raw).decode())
+        raw = one.unused_data
+    return out
+
+
 def test_record_format(spark, tmp_path):
-    warc.write_warc(spark.createDataFrame([(1, "http://a/", "x" * 150), (2, "http://b/", "x" * 150)], SCHEMA), str(tmp_path / "w"))
-    text = b"".join(gzip.open(p).read() for p in glob.glob(f"{tmp_path}/w/part-*")).decode()
-    digest = brute.sha(b"x" * 150)
-    assert text.count("WARC/1.1\r\n") == 2 and text.count("x" * 150) == 1
-    assert f"WARC-Refers-To: <urn:pages:1:{digest[:16]}>\r\n" in text and f"WARC-Payload-Digest: sha256:{digest}" in text
-    assert "identical-payload-digest" in text and text.endswith("\r\n\r\n")
+    rows = [(1, "http://a/", "x" * 150), (2, "http://b/", "x" * 150), (1, "http://a/", "x" * 150), (3, "http://c/", "é\r\n\r\n" * 9)]
+    warc.write_warc(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "w"))
+    files = glob.glob(f"{tmp_path}/w/*.warc.gz")
+    found = [m for p in files for m in members(p)]
+    assert len(glob.glob(f"{tmp_path}/w/*")) == len(files) and len(found) == len(files) + 4
+    heads = [m.split("\r\n\r\n")[0] for m in found]
+    field = lambda h, name: next((x.split(": ", 1)[1] for x in h.split("\r\n") if x.startswith(name + ": ")), None)
+    assert len({field(h, "WARC-Record-ID") for h in heads}) == len(found)
+    assert [field(h, "WARC-Type") for h in heads].count("warcinfo") == len(files)
+    for m, h in zip(found, heads):
+        assert m.startswith("WARC/1.1\r\n") and m.endswith("\r\n\r\n")
+        block = m[len(h) + 4 : -4].encode()
+        assert len(block) == int(field(h, "Content-Length"))
+        if field(h, "WARC-Type") == "response":
+            header, _, payload = block.partition(b"\r\n\r\n")
+            assert header.startswith(b"HTTP/1.1 200 OK\r\n") and field(h, "WARC-Payload-Digest") == "sha256:" + brute.sha(payload)
+    (revisit,) = [h for h in heads if field(h, "WARC-Type") == "revisit"]
+    assert field(revisit, "WARC-Refers-To") in {field(h, "WARC-Record-ID") for h in heads if field(h, "WARC-Type") == "response"}
+    assert field(revisit, "WARC-Profile").endswith("identical-payload-digest")
 
 
 def test_hot_digest_and_many_ties(spark, tmp_path):
