@@ -8,6 +8,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import payload_queries
 from .functions import prices, text
 from .operators import accounting, cache, enrich, grouping, legacy, relevance, report, standout
 from .plans.search import search
@@ -362,3 +363,6 @@ for _name in WHOLE:
     QUERIES[f"whole_{_name}"] = _whole(QUERIES[_name])
     if _name in SQL:
         SQL[f"whole_{_name}"] = SQL[_name].replace(" WHERE l_quantity <= 3", "").replace(" WHERE price < 1500", "")
+
+QUERIES |= payload_queries.QUERIES
+SQL |= payload_queries.SQL
