@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +13,7 @@ from .operators import accounting, cache, enrich, grouping, legacy, relevance, r
 from .plans.search import search
 from .schema import SOURCES
 from .sources import payloads
-from .sources.offers import offers as made_offers
-from .sources.offers import table
+from .sources.offers import offers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY = "red widget"
@@ -26,12 +24,13 @@ SQL: dict[str, str] = {}
 
 _CODES = "[" + ", ".join(f"'{s}'" for s in SOURCES) + "]"
 _OFFERS = f"""
-WITH lines AS (SELECT l_partkey, l_suppkey, min(l_extendedprice / l_quantity) AS price FROM lineitem WHERE l_quantity <= 3 GROUP BY ALL),
-o AS (SELECT concat(l_partkey, '-', l_suppkey) AS id, p_name AS name, p_name AS kind, p_brand AS brand, price,
+WITH lines AS (SELECT l_partkey, l_suppkey, min(l_extendedprice / l_quantity) AS price FROM lineitem GROUP BY ALL),
+o AS (SELECT *, CASE WHEN pack > 0 THEN price / ((pack * 1.0) / CAST(100.0 AS DOUBLE)) END AS ppu FROM (
+  SELECT concat(l_partkey, '-', l_suppkey) AS id, p_name AS name, p_name AS kind, p_brand AS brand, price,
   CAST(l_suppkey % 7 AS INT) AS so, l_partkey AS pa, l_suppkey AS su, {_CODES}[CAST(l_suppkey % 7 AS INT) + 1] AS source,
-  CAST(p_size AS DOUBLE) AS pack, CASE WHEN p_type = 'SMALL' THEN 'ml' ELSE 'g' END AS unit, p_type = 'ECONOMY' AS organic,
-  CASE WHEN p_size > 0 THEN price / ((CAST(p_size AS DOUBLE) * 1.0) / CAST(100.0 AS DOUBLE)) END AS ppu
-  FROM lines JOIN part ON l_partkey = p_partkey)"""
+  CAST(p_size + CASE WHEN l_suppkey % 5 = 0 THEN 50 + l_suppkey ELSE 0 END AS DOUBLE) AS pack,
+  CASE WHEN p_type = 'SMALL' THEN 'ml' ELSE 'g' END AS unit, p_type = 'ECONOMY' AS organic
+  FROM lines JOIN part ON l_partkey = p_partkey))"""
 _GROUPS = """,
 g AS (SELECT kind, pack, unit, organic, count(*) AS n, count(DISTINCT source) AS n_sources, min(price) AS best_price,
   arg_min(source, (price, so, pa, su)) AS best_price_source, min(ppu) AS best_ppu, arg_min(source, (ppu, so, pa, su)) AS best_ppu_source,
@@ -54,14 +53,6 @@ fg AS (SELECT kind, pack, unit, organic, count(*) AS n, count(DISTINCT source) A
 _SURE = "CASE WHEN n_sources >= 3 THEN 'high' WHEN n_sources = 2 THEN 'medium' ELSE 'low' END"
 
 
-#: Set while a query runs over every line of lineitem.
-_every_line: ContextVar[bool] = ContextVar("every_line", default=False)
-
-
-def offers(spark: SparkSession, d: str) -> DataFrame:
-    return made_offers(spark, d, None) if _every_line.get() else made_offers(spark, d)
-
-
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -225,10 +216,9 @@ def attr_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return enrich.last_wins(table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), "event_type", "value"))
 
 
-@query(_OFFERS + f" SELECT d.source, coalesce(n, 0) AS n FROM (SELECT unnest({_CODES}) AS source) d LEFT JOIN (SELECT source, count(*) AS n FROM o WHERE price < 1500 GROUP BY source) c ON d.source = c.source")
+@query(_OFFERS + f" SELECT d.source, coalesce(n, 0) AS n FROM (SELECT unnest({_CODES}) AS source) d LEFT JOIN (SELECT source, count(*) AS n FROM o GROUP BY source) c ON d.source = c.source")
 def count_by_source_zero_filled(spark: SparkSession, d: str) -> DataFrame:
-    every = offers(spark, d)
-    return accounting.count_by_source(every if _every_line.get() else every.filter("price < 1500")).select("source", "n")
+    return accounting.count_by_source(offers(spark, d)).select("source", "n")
 
 
 @query(_OFFERS + " SELECT id, source, source_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY so, pa, su) AS source_rank FROM o) WHERE source_rank <= 20")
@@ -342,27 +332,5 @@ def search_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("group_rank").cast("bigint").alias("group_rank"), "group_id", "matched_name", "n", "n_sources", "best_price", "best_price_source", "best_ppu", "best_ppu_source", "unit", "match_confidence", "score")
 
 
-#: The queries on offers that also run over the whole of lineitem. Those on what
-#: stays ungrouped are not among them: there the small tables leave nothing.
-WHOLE = [n for n, sql in SQL.items() if sql.startswith(_OFFERS) and n not in ("ungrouped_anti", "standout_candidates", "standout_deal")]
-WHOLE += ["report_lines", "jsonld_walk", "labels", "search_document"]
-
-
-def _whole(f: Query) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        before = _every_line.set(True)
-        try:
-            return f(spark, d)
-        finally:
-            _every_line.reset(before)
-
-    return run
-
-
-for _name in WHOLE:
-    QUERIES[f"whole_{_name}"] = _whole(QUERIES[_name])
-    if _name in SQL:
-        SQL[f"whole_{_name}"] = SQL[_name].replace(" WHERE l_quantity <= 3", "").replace(" WHERE price < 1500", "")
-
 QUERIES |= payload_queries.QUERIES
 SQL |= payload_queries.SQL

@@ -13,23 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def offers(spark: SparkSession, sf_dir: str, most_quantity: int | None = 3) -> DataFrame:
-    """One offer for each part and supplier with a line of a small quantity, or
-    with any line if ``most_quantity`` is None."""
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One offer for each part and supplier, at the best price of their lines.
+
+    One supplier in five sells larger packs of its own, so that not every offer
+    has its like in another source.
+    """
     lines = table(spark, sf_dir, "lineitem")
-    if most_quantity is not None:
-        lines = lines.filter(F.col("l_quantity") <= most_quantity)
     best = lines.groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     rows = best.join(part, F.col("l_partkey") == F.col("p_partkey"))
     place = F.pmod("l_suppkey", F.lit(len(SOURCES))).cast("int")
     unit = F.when(F.col("p_type") == "SMALL", "ml").otherwise("g")
-    size = F.col("p_size").cast("double")
+    grams = F.col("p_size") + F.when(F.col("l_suppkey") % 5 == 0, 50 + F.col("l_suppkey")).otherwise(0)
+    size = grams.cast("double")
     attributes = F.struct(
         F.col("p_brand").alias("brand"),
         F.col("p_name").alias("kind"),
         (F.col("p_type") == "ECONOMY").alias("organic"),
-        F.struct(size.alias("value"), unit.alias("unit"), F.concat("p_size", unit).alias("original")).alias("pack"),
+        F.struct(size.alias("value"), unit.alias("unit"), F.concat(grams.cast("string"), unit).alias("original")).alias("pack"),
         F.lit(None).cast("double").alias("count"),
         F.lit(None).cast("string").alias("variant"),
         F.lit(None).cast("string").alias("diaper_size"),
