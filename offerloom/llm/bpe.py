@@ -244,31 +244,38 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.mapInArrow(_digests(name, "doc_id"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def _ids(name: str, end_id: int | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _ids(name: str, end_id: int | None, digest: bool):
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]
+    schema = pa.schema(fields + ([("decoded_sha256", pa.string())] if digest else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = FragmentEncoder.of(SparkFiles.get(name), digests=False)
+        encoder = FragmentEncoder.of(SparkFiles.get(name), digests=digest)
         for piece in text_pieces(batches, "text", 4 << 20):
-            ids, ends = encoder.encode(piece.column("text"))[0]
+            (ids, ends), *more = encoder.encode(piece.column("text"))
             ids, ends = np.frombuffer(ids, np.int32), ends // 4
             if end_id is not None:
                 ids, ends = with_end(ids, ends, end_id)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], schema=schema)
+            columns = [piece.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+            if digest:
+                decoded, at = memoryview(more[1][0]), more[1][1].tolist()
+                columns.append(pa.array([hashlib.sha256(_as_text(decoded[s:e])).hexdigest() for s, e in zip(at, at[1:])]))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>) of each row of (doc_id, text).
 
-    ``end_id``, if given, is put after the ids of each document and counted. A
-    null or empty text has no other ids.
+    ``end_id``, if given, is put after the ids of each document and counted. With
+    ``digest``, the ids (but for ``end_id``) are decoded as well, and
+    decoded_sha256 is the digest of that text. A null or empty text has no ids
+    and decodes to the empty one.
     """
     ship_package(docs.sparkSession)
     name = share_tokenizer(docs, tokenizer)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(_ids(name, end_id), "doc_id bigint, n_tokens bigint, ids array<int>")
+    return docs.mapInArrow(_ids(name, end_id, digest), "doc_id bigint, n_tokens bigint, ids array<int>" + (", decoded_sha256 string" if digest else ""))
 
 
 def _texts(name: str):

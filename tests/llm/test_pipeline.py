@@ -73,8 +73,9 @@ def test_secrets(steps):
 def test_tokens(steps):
     whole = Tokenizer.from_file(corpus_pipeline.tokenizer_file())
     before = texts(steps[4][0])
-    got = {r.doc_id: (r.n_tokens, r.ids) for r in steps[4][1].collect()}
-    assert got == {d: (len(x), x) for d, t in before.items() for x in [whole.encode(t, add_special_tokens=False).ids]}
+    got = {r.doc_id: (r.n_tokens, r.ids, r.decoded_sha256) for r in steps[4][1].collect()}
+    decoded = lambda ids: brute.sha(whole.decode(ids, skip_special_tokens=False).encode())
+    assert got == {d: (len(x), x, decoded(x)) for d, t in before.items() for x in [whole.encode(t, add_special_tokens=False).ids]}
 
 
 def test_run(spark, tables, steps):
