@@ -46,8 +46,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each document."""
-    return bpe.encode(docs, tokenizer_file())
+    """(doc_id, n_tokens, ids, decoded_sha256) of each document; the digest is
+    that of the text which the ids decode to."""
+    return bpe.encode(docs, tokenizer_file(), digest=True)
 
 
 STAGES = [
