@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ship_package, text_buffer, text_pieces
 
 #: Bytes of fragments, ids and digests that a worker remembers between batches.
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 16 << 20
 #: A longer fragment (bytes) is not remembered.
 LONGEST = 64
 
@@ -74,12 +74,13 @@ BLANK[[0xE1, 0xE2, 0xE2, 0xE3], [0x9A, 0x80, 0x81, 0x80]] = True
 class FragmentEncoder:
     """Encodes batches of texts through fragments; one for each worker and file.
 
-    ``digests``: whether decimal ids and decoded bytes are wanted beside the ids.
+    ``digests``: whether decimal ids and decoded bytes are wanted beside the ids;
+    ``decimals``: False if decoded bytes alone are.
     """
 
-    _made: dict[tuple[str, bool], FragmentEncoder] = {}
+    _made: dict[tuple[str, bool, bool], FragmentEncoder] = {}
 
-    def __init__(self, path: str, digests: bool = True):
+    def __init__(self, path: str, digests: bool = True, decimals: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,15 +96,18 @@ class FragmentEncoder:
         self.digests = digests
         most = max(self.bytes_of)
         self.vocabulary = pa.array([self.bytes_of.get(i, b"") for i in range(most + 1)], pa.large_binary())
-        self.decimals = pa.array([b"%d," % i for i in range(most + 1)], pa.large_binary())
+        self.tables = [self.vocabulary] if digests else []
+        if digests and decimals:
+            self.tables.insert(0, pa.array([b"%d," % i for i in range(most + 1)], pa.large_binary()))
         self.keys = pa.array([], pa.binary())
-        self.values = [pa.array([], pa.large_binary())] * (3 if digests else 1)
+        self.values = [pa.array([], pa.large_binary())] * (1 + len(self.tables))
 
     @classmethod
-    def of(cls, path: str, digests: bool = True) -> FragmentEncoder:
-        if (path, digests) not in cls._made:
-            cls._made[path, digests] = cls(path, digests)
-        return cls._made[path, digests]
+    def of(cls, path: str, digests: bool = True, decimals: bool = True) -> FragmentEncoder:
+        key = (path, digests, decimals)
+        if key not in cls._made:
+            cls._made[key] = cls(*key)
+        return cls._made[key]
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where fragments begin, and the end of the last."""
@@ -136,7 +140,7 @@ class FragmentEncoder:
             flat.append(np.fromiter(chain.from_iterable(ids), "<i4"))
         ids, ends = np.concatenate(flat), np.cumsum(sizes)
         out = [_binary(ends * 4, ids)]
-        for table in (self.decimals, self.vocabulary) if self.digests else ():
+        for table in self.tables:
             whole = table.take(pa.array(ids))
             out.append(_binary(np.frombuffer(whole.buffers()[1], np.int64)[: len(ids) + 1][ends], whole.buffers()[2]))
         return out
@@ -144,8 +148,8 @@ class FragmentEncoder:
     def learn(self, fragments: pa.Array) -> list[pa.Array]:
         """The values of each fragment, each distinct new one encoded once.
 
-        What is remembered is bounded in bytes: beyond the bound only the new
-        fragments stay, or none if these alone are too many.
+        What is remembered is bounded in bytes: beyond the bound only the
+        fragments of these texts stay, or none if these alone are too many.
         """
         at = pc.index_in(fragments, value_set=self.keys)
         values = self.values
@@ -154,17 +158,15 @@ class FragmentEncoder:
             distinct = fragments.filter(missing).dictionary_encode()
             new = distinct.dictionary
             fresh = self._encoded(new)
-            values = [pa.concat_arrays([v, f]) for v, f in zip(values, fresh)]
+            keys, values = pa.concat_arrays([self.keys, new]), [pa.concat_arrays([v, f]) for v, f in zip(values, fresh)]
             at = pc.replace_with_mask(at, missing, pc.add(distinct.indices, pa.scalar(len(self.keys), pa.int32())))
-            short = pc.less_equal(pc.binary_length(new), LONGEST)
-            new, fresh = new.filter(short), [f.filter(short) for f in fresh]
-            size = sum(x.nbytes for x in (new, *fresh))
-            if size + sum(x.nbytes for x in (self.keys, *self.values)) <= REMEMBERED_BYTES:
-                self.keys, self.values = pa.concat_arrays([self.keys, new]), [pa.concat_arrays([v, f]) for v, f in zip(self.values, fresh)]
-            elif size <= REMEMBERED_BYTES:
-                self.keys, self.values = new, fresh
-            else:
-                self.keys, self.values = new.slice(0, 0), [f.slice(0, 0) for f in fresh]
+            short = pc.less_equal(pc.binary_length(keys), LONGEST)
+            used = pa.array(np.bincount(at.to_numpy(), minlength=len(keys)) > 0)
+            for kept in (short, pc.and_(short, used), pc.and_not(short, short)):
+                some = [x.filter(kept) for x in (keys, *values)]
+                if sum(x.nbytes for x in some) <= REMEMBERED_BYTES:
+                    break
+            self.keys, self.values = some[0], some[1:]
         return [v.take(at) for v in values]
 
     def encode(self, column: pa.Array) -> tuple[tuple[pa.Buffer | bytes, np.ndarray], ...]:
@@ -213,7 +215,7 @@ def _digests(name: str, id_column: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = FragmentEncoder.of(SparkFiles.get(name))
-        for piece in text_pieces(batches, "text", 4 << 20):
+        for piece in text_pieces(batches, "text", 2 << 20):
             (_, ids), (decimals, d), (decoded, t) = encoder.encode(piece.column("text"))
             sha = lambda b: hashlib.sha256(b).hexdigest()
             decimals, decoded = memoryview(decimals), memoryview(decoded)
@@ -249,15 +251,15 @@ def _ids(name: str, end_id: int | None, digest: bool):
     schema = pa.schema(fields + ([("decoded_sha256", pa.string())] if digest else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = FragmentEncoder.of(SparkFiles.get(name), digests=digest)
-        for piece in text_pieces(batches, "text", 4 << 20):
+        encoder = FragmentEncoder.of(SparkFiles.get(name), digest, decimals=False)
+        for piece in text_pieces(batches, "text", 2 << 20):
             (ids, ends), *more = encoder.encode(piece.column("text"))
             ids, ends = np.frombuffer(ids, np.int32), ends // 4
             if end_id is not None:
                 ids, ends = with_end(ids, ends, end_id)
             columns = [piece.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
             if digest:
-                decoded, at = memoryview(more[1][0]), more[1][1].tolist()
+                decoded, at = memoryview(more[0][0]), more[0][1].tolist()
                 columns.append(pa.array([hashlib.sha256(_as_text(decoded[s:e])).hexdigest() for s, e in zip(at, at[1:])]))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
