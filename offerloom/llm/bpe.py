@@ -10,7 +10,7 @@ are short and repeat, so each distinct one of a worker's texts is encoded once.
 from __future__ import annotations
 
 import hashlib
-import json
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -83,25 +83,31 @@ class FragmentEncoder:
     def __init__(self, path: str, digests: bool = True, decimals: bool = True):
         from tokenizers import Tokenizer
 
+        # a task has one core, and each further thread keeps memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         letters = byte_alphabet()
-        self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
-        self.safe = safe_pairs(forced_pairs(list(self.bytes_of.values()))).ravel()
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
-        self.bytes_of |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(added.values())
+        bytes_of = {i: bytes(letters[c] for c in t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.safe = safe_pairs(forced_pairs(list(bytes_of.values()))).ravel()
+        bytes_of |= added
         self.digests = digests
-        most = max(self.bytes_of)
-        self.vocabulary = pa.array([self.bytes_of.get(i, b"") for i in range(most + 1)], pa.large_binary())
+        most = max(bytes_of)
+        self.vocabulary = pa.array([bytes_of.get(i, b"") for i in range(most + 1)], pa.large_binary())
         self.tables = [self.vocabulary] if digests else []
         if digests and decimals:
             self.tables.insert(0, pa.array([b"%d," % i for i in range(most + 1)], pa.large_binary()))
         self.keys = pa.array([], pa.binary())
         self.values = [pa.array([], pa.large_binary())] * (1 + len(self.tables))
 
+    @property
+    def bytes_of(self) -> dict[int, bytes]:
+        """The bytes of each token that the vocabulary holds, by id."""
+        return {i: b for i, b in enumerate(self.vocabulary.to_pylist()) if b}
+
     @classmethod
     def of(cls, path: str, digests: bool = True, decimals: bool = True) -> FragmentEncoder:
         key = (path, digests, decimals)
@@ -133,8 +139,8 @@ class FragmentEncoder:
         """The values of each fragment: its ids as little-endian 32-bit integers
         and, with digests, "id," for each and the bytes that they decode to."""
         sizes, flat = np.zeros(len(fragments) + 1, np.int64), []
-        for s in range(0, len(fragments), 20_000):
-            texts = fragments.slice(s, 20_000).cast(pa.string()).to_pylist()
+        for s in range(0, len(fragments), 2_000):
+            texts = fragments.slice(s, 2_000).cast(pa.string()).to_pylist()
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes[s + 1 : s + 1 + len(ids)] = list(map(len, ids))
             flat.append(np.fromiter(chain.from_iterable(ids), "<i4"))
