@@ -116,7 +116,9 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def text_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``most`` bytes of text.
 
-    A row is never cut: one longer text is a piece of its own.
+    A row is never cut: one longer text is a piece of its own. After each piece
+    the memory that Arrow keeps for later is given back, since a worker outlives
+    its task and what it holds counts against its executor.
     """
     import numpy as np
     import pyarrow.compute as pc
@@ -130,6 +132,9 @@ def text_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 <<
         for s, e in zip(cuts, cuts[1:]):
             if e > s:
                 yield batch.slice(s, e - s)
+                pa.default_memory_pool().release_unused()
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def text_buffer(column: pa.Array):
