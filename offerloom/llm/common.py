@@ -22,14 +22,25 @@ HOT_SHARE = 1 / 1000
 BROADCAST_ROWS = 500_000
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """Whether driver and workers are on one machine and share its folders."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for tables that cut lineage."""
+    """The folder that driver and executors share, for tables that cut lineage.
+
+    Where spark.checkpoint.dir names none, a local master gets one of its own; on
+    a cluster no folder of this machine would do, and that is an error.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="offerloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -51,10 +62,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers whose path lacks it."""
+    """Make this package importable in Python workers whose path lacks it: on a
+    cluster always, since executors need not have the driver's folders."""
     root = Path(__file__).resolve().parents[2]
     seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if any(p and os.path.realpath(p) == str(root) for p in seen) or (Path.cwd() / "offerloom").is_dir():
+    if _is_local(spark) and any(p and os.path.realpath(p) == str(root) for p in seen):
         return
     sc = spark.sparkContext
     if getattr(sc, "_offerloom_shipped", False):
