@@ -125,7 +125,7 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(_some_ids(ids, key), key, "left_anti").select(df.columns)
 
 
-def text_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``most`` bytes of text.
 
     A row is never cut: one longer text is a piece of its own. After each piece

@@ -38,6 +38,8 @@ BANDS, BAND_ROWS = 32, 5
 BINS = BANDS * BAND_ROWS
 #: Members of a star in a block of step 5, and shingles of their sets.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Shared tokens that a comparison of blocks holds at a time.
+MATCHES = 1 << 19
 
 _PROBES = np.random.default_rng(5).integers(0, BINS, (4096, BINS))
 
@@ -155,13 +157,18 @@ def _block_links(percent: int):
             return x
 
         links = []
-        for at in range(0, len(b), 64):
-            part = slice(at, at + 64)
-            token, owner = lists[part].flatten().to_numpy(), np.repeat(np.arange(len(b[part])), far[part])
-            lo, hi = np.searchsorted(token2, token), np.searchsorted(token2, token, "right")
-            n = hi - lo
-            place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            shared = np.bincount(np.repeat(owner, n) * len(b2) + owner2[place], minlength=len(b[part]) * len(b2)).reshape(-1, len(b2))
+        token, owner = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(far)])
+        lo, n = np.searchsorted(token2, token), np.searchsorted(token2, token, "right")
+        n -= lo
+        matches = np.concatenate([[0], np.cumsum(n)])[owner]
+        at = 0
+        while at < len(b):
+            # as many members at once as share MATCHES tokens with the others
+            to = int(np.clip(np.searchsorted(matches, matches[at] + MATCHES, "right") - 1, at + 1, min(at + 64, len(b))))
+            part, own = slice(at, to), slice(owner[at], owner[to])
+            row = np.repeat(np.arange(to - at), np.diff(matches[at : to + 1]))
+            place = np.repeat(lo[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(len(row))
+            shared = np.bincount(row * len(b2) + owner2[place], minlength=(to - at) * len(b2)).reshape(-1, len(b2))
             total = size[part, None] + size2[None, :]
             both = (total - (far[part, None] + far2[None, :] - 2 * shared)) // 2
             close = (100 * both >= percent * (total - both)) & (root[part, None] != root2[None, :])
@@ -170,6 +177,7 @@ def _block_links(percent: int):
                 if one != two:
                     group[one] = two
                     links.append((b[at + i], b2[j]))
+            at = to
         out = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
