@@ -29,13 +29,12 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN {again} THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN {again} THEN first END AS refers_to FROM f"""
 
 
-def quality_rules() -> str:
+def quality_rules(risk: float) -> str:
     words, w = _WORDS.format("coalesce(text, '')"), quality.WINDOW
     ratios = {r: "coalesce({} / nullif({}, 0), 0)".format(*e.split(" / ")) for r, e in quality.RULES.items()}
     scores = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {e} AS score FROM holdout" for r, e in ratios.items())
     over = " OR ".join(f"coalesce({e} > (SELECT cutoff FROM cuts c WHERE c.stratum = s.stratum AND c.rule = '{r}'), false)" for r, e in ratios.items())
     grid = ", ".join(f"({i}, {c})" for i, c in enumerate(quality.GRID))
-    risk = quality.RISK
     return f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, {words} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \\t-\\r]')) AS l FROM documents),
 j AS (SELECT *, array_to_string(w, '') AS joined FROM t),
@@ -99,7 +98,7 @@ def license_matches() -> str:
     d = license_scan.THRESHOLD
     return f"""
 WITH k AS (SELECT license, version, {pairs} AS p FROM (SELECT license, version, {words.format("body")} AS w FROM (VALUES {known}) AS v(license, version, body))),
-u AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text]))) AS unit FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split_regex(text, '{license_scan.DIVIDER}'), [text]))) AS unit FROM documents WHERE text IS NOT NULL),
 q AS (SELECT doc_id, unit, {pairs} AS p FROM (SELECT doc_id, unit, {words.format("unit")} AS w FROM u)),
 f AS (SELECT doc_id, unit, len(p) AS a, unnest(p) AS pair FROM q WHERE len(p) BETWEEN 1 AND (SELECT max(len(p)) FROM k) * {2 - d} / {d}),
 m AS (SELECT doc_id, unit, license, version, 2 * count(*) / (a + b) AS dice FROM f JOIN (SELECT license, version, len(p) AS b, unnest(p) AS pair FROM k) USING (pair) GROUP BY doc_id, unit, license, version, a, b HAVING 2 * count(*) / (a + b) >= {d}),

@@ -166,7 +166,7 @@ def bigrams(text: str) -> set[tuple[str, str]]:
 def licenses(text: str | None, templates: dict[str, list[str]], threshold: float) -> dict[str, tuple[int, float]]:
     out: dict[str, tuple[int, float]] = {}
     text = text or ""
-    for unit in {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text}:
+    for unit in {*text.split("\n"), *re.split(r"\n[ \t\r#*/;%]*\n", text), text}:
         have = bigrams(unit)
         scores = [(-2 * len(have & want) / (len(have) + len(want)), name) for name, bodies in templates.items() for body in bodies if (want := bigrams(body))]
         least, name = min(scores)

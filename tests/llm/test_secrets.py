@@ -134,3 +134,49 @@ def test_licenses(spark):
     assert got == {(d, n): v for d, t in rows for n, v in brute.licenses(t, license_scan.TEMPLATES, license_scan.THRESHOLD).items()}
     assert len(got) > 100
     assert license_scan.license_matches(df.limit(0)).collect() == []
+
+
+def test_license_layouts(spark):
+    """Notices as files carry them: wrapped, in comments, with an owner's name."""
+    apache = """# Copyright 2020 Some Body
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+    gnu = """/*
+ * This {what} is free software{a} you can redistribute it and/or modify
+ * it under the terms of the GNU {kind}General Public License as published by
+ * the Free Software Foundation{b} either version {v} of the License, or
+ * (at your option) any later version.
+ *
+ * And so on.
+ */"""
+    mit = "MIT License\n\nCopyright (c) 2021 A. Person\n\n" + "\n\n".join([license_scan._MIT_GRANT, license_scan._MIT_NOTICE, license_scan._MIT_WARRANTY])
+    bsd = [license_scan._BSD_GRANT, license_scan._BSD_CLAUSES, license_scan._BSD_NAMES, license_scan._BSD_WARRANTY]
+    rows = [
+        (1, apache),
+        (2, gnu.format(what="program", a=";", kind="", b=";", v="2")),
+        (3, gnu.format(what="program", a=":", kind="", b=",", v="3")),
+        (4, gnu.format(what="library", a=";", kind="Lesser ", b=";", v="2.1")),
+        (5, gnu.format(what="program", a=":", kind="Affero ", b=",", v="3")),
+        (6, mit),
+        (7, "\n".join(bsd)),
+        (8, "\n".join(bsd[:2] + bsd[3:])),
+        (9, "A walk in the park, free of charge.\n\n# \n\nNo licence here."),
+    ]
+    got: dict[int, set[str]] = {}
+    for r in license_scan.license_matches(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    either = "BSD-2-Clause OR BSD-3-Clause"
+    assert got == {1: {"Apache-2.0"}, 2: {"GPL-2.0"}, 3: {"GPL-3.0"}, 4: {"LGPL-2.1"}, 5: {"AGPL-3.0"}, 6: {"MIT"}, 7: {"BSD-3-Clause", either}, 8: {"BSD-2-Clause", either}}
