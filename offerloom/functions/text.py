@@ -36,7 +36,7 @@ def normalize_text(c: Column) -> Column:
     """Lower case without accents; "SPF 50+" is spf50; punctuation to spaces."""
     plain = strip_accents(F.lower(c))
     spf = F.regexp_replace(plain, rf"(?<![A-Za-z0-9_])spf{WS}*([0-9]+)\+?", "spf$1")
-    words = F.regexp_replace(spf, rf"(?:(?!{WS})[^A-Za-z0-9_])", " ")
+    words = F.regexp_replace(spf, "[^A-Za-z0-9_" + WS[1:], " ")
     return trim_ws(collapse_ws(words))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.prices import card_price, normalize_price, window_price
-from ..functions.text import WS, clean_text, collapse_ws, decode_attribute, encode_query, normalize_url, strip_tags_for_price, trim_ws
+from ..functions.text import clean_text, collapse_ws, decode_attribute, encode_query, normalize_url, strip_tags_for_price, trim_ws
 from ..schema import ATTRIBUTES, OFFER_COLUMNS, PER_UNIT, SOURCES
 
 MOST = 20
@@ -85,11 +85,19 @@ def fetch_status(payloads: DataFrame) -> DataFrame:
     return payloads.withColumns({"error": error, "success": error.isNull()})
 
 
-@udtf(returnType="idx int, name string, url string, image string, brand string, price string, currency string")
+def _no_number(text: str) -> None:
+    """JSON has neither NaN nor Infinity."""
+    raise ValueError(text)
+
+
+@udtf(returnType="idx int, name string, url string, image string, brand string, price string, number double, currency string")
 class JsonLdProducts:
     """Nodes of type Product in a page's JSON-LD, in document order.
 
     Products that an ItemList holds come twice, as its items and as its parts.
+    A block that is no JSON, or is nested deeper than the parser goes, is left
+    out. A price is either a string or a number; what is no finite number is
+    none.
     """
 
     BLOCK = re.compile(r"""<script[^>]*type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>""", re.I)
@@ -98,8 +106,8 @@ class JsonLdProducts:
         stack = []
         for block in self.BLOCK.findall(html or ""):
             try:
-                top = json.loads(block.strip())
-            except ValueError:
+                top = json.loads(block.strip(), parse_constant=_no_number)
+            except (ValueError, RecursionError):
                 continue
             stack += top if isinstance(top, list) else [top]
         stack.reverse()
@@ -125,10 +133,10 @@ class JsonLdProducts:
         text = lambda x: x if isinstance(x, str) else None
         offer, brand = head(node.get("offers")), node.get("brand")
         offer = offer if isinstance(offer, dict) else {}
-        price = offer.get("price")
-        if isinstance(price, (int, float)) and not isinstance(price, bool):
-            price = "#" + repr(float(price))  # a number is taken as it is
-        return text(node.get("name")), text(node.get("url")), text(head(node.get("image"))), text(brand.get("name") if isinstance(brand, dict) else brand), text(price), text(offer.get("priceCurrency"))
+        price, number = offer.get("price"), None
+        if isinstance(price, (int, float)) and not isinstance(price, bool) and abs(price) < 1e300:
+            number = float(price)
+        return text(node.get("name")), text(node.get("url")), text(head(node.get("image"))), text(brand.get("name") if isinstance(brand, dict) else brand), text(price), number, text(offer.get("priceCurrency"))
 
 
 @udtf(returnType="at int, href string, inner string")
@@ -179,8 +187,7 @@ def _offer(df: DataFrame, source: str, idx: str = "idx", **columns: Column) -> D
 
 def json_ld_offers(pages: DataFrame, source: str) -> DataFrame:
     nodes = _lateral(pages.select("query", "body"), JsonLdProducts, "body")
-    number = F.when(F.col("price").startswith("#"), F.substring("price", 2, 40).try_cast("double")).otherwise(normalize_price(F.col("price")))
-    return _offer(nodes, source, name=F.col("name"), price=F.coalesce(number, F.lit(0.0)), currency=F.coalesce("currency", F.lit("RON")), image_url=F.coalesce("image", F.lit("")), product_url=F.coalesce("url", F.lit("")), brand=F.col("brand"))
+    return _offer(nodes, source, name=F.col("name"), price=F.coalesce("number", normalize_price(F.col("price")), F.lit(0.0)), currency=F.coalesce("currency", F.lit("RON")), image_url=F.coalesce("image", F.lit("")), product_url=F.coalesce("url", F.lit("")), brand=F.col("brand"))
 
 
 def anchor_products(pages: DataFrame, base: str, pattern: str, currency: str = "RON") -> DataFrame:
@@ -291,6 +298,3 @@ def top_per_source(offers: DataFrame, most: int = MOST) -> DataFrame:
     keys = [c for c in ("query", "source") if c in offers.columns]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
     return offers.withColumn("source_rank", rank).filter(F.col("source_rank") <= most)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["WS"]

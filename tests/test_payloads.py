@@ -22,6 +22,14 @@ def test_json_ld_lists_come_twice(spark):
     assert [(r.name, r.price, r.currency, r.brand) for r in read(spark, "bebetei", LISTED)] == [("A", 10.5, "RON", None), ("B", 12.5, "EUR", "X")] * 2
 
 
+def test_json_ld_odd_blocks(spark):
+    """Deep nesting, numbers that are none, and a string that begins with #."""
+    block = lambda x: f'<script type="application/ld+json">{x}</script>'
+    product = lambda name, price: block(f'{{"@type":"Product","name":"{name}","url":"u","offers":{{"price":{price}}}}}')
+    body = block("[" * 200_000) + block("[" * 200_000 + "]" * 200_000) + product("nan", "NaN") + product("inf", "Infinity") + product("huge", "1" + "0" * 400) + product("mark", '"#12,50"') + product("plain", "3")
+    assert [(r.name, r.price) for r in read(spark, "bebetei", body)] == [("mark", 12.5), ("plain", 3.0)]
+
+
 def test_anchor_fallback_and_merge(spark):
     body = '<a href="/brand/thing-1/">Thing</a> 1.299,99 Lei <img src="/a.png"> <a class=x href="/brand/thing-1/">Longer thing</a><a href="/search.asp?x">no</a>'
     got = read(spark, "notino", body)
