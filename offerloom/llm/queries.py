@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, lm_score, near_dup, quality, repeats, secret_scan, sql, token_store, warc, word_score
+from . import bpe, decontaminate, license_scan, lm_score, near_dup, personal_data, quality, ranked_search, repeats, runs, secret_scan, sql, token_store, warc, word_score
 from .common import fresh_path
 
 
@@ -80,13 +80,34 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_planted_period(_read(spark, sf_dir, "documents")), power=4, least=6)
+    best = F.col("best")
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digests = {"runs_sha256": F.sha2(F.array_join(told, ""), 256), "collapsed_sha256": F.sha2("collapsed", 256)}
+    found = found.withColumn("best", runs.strongest(F.col("runs")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), *[c.alias(k) for k, c in digests.items()])
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.scan(_read(spark, sf_dir, "documents"))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in personal_data.KINDS[:4]]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("found").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_word_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup, byte_backoff, quality_at_looser_risk)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_warc_revisits, op3_risk_controlled_quality, op4_bpe_round_trip, op5_repeated_substrings, op6_token_parquet, op7_word_backoff, op8_multipart_secrets, op9_license_dice, op10_minhash_near_dedup, op11_tiered_search, op12_periodic_runs, op13_personal_data, byte_backoff, quality_at_looser_risk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that have one. Repeated substrings, BPE, its files, and
-    secrets (which look behind and ahead) can't be written in DuckDB's."""
+    """SQL of the queries that have one. Repeated substrings, BPE, its files,
+    secrets (which look behind and ahead), runs (CRC-32) and what trees decide
+    can't be written in DuckDB's."""
     found = {
         "op1_benchmark_decontamination": sql.contained_items(k=5, threshold=0.8),
         "op2_warc_revisits": sql.revisits(least_bytes=100),
@@ -96,5 +117,6 @@ def oracle_sql() -> dict[str, str]:
         "byte_backoff": sql.backoff_scores(),
         "op9_license_dice": sql.license_matches(),
         "op10_minhash_near_dedup": sql.near_duplicates(k=4, percent=80),
+        "op11_tiered_search": sql.ranked_search(k=10),
     }
     return {k: v for k, v in found.items() if v}

@@ -8,6 +8,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes, then words, of a long text that are read at a time.
+BLOCK, WORDS = 1 << 20, 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -39,12 +41,27 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of the first word of each text plus the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of the first word of each text plus the end).
+
+    Bytes that ``space`` marks part words. A long text is read in blocks, cut
+    between words, so that what is held beside the hashes is bounded.
+    """
+    if len(offsets) == 2 and len(data) > 2 * BLOCK:
+        out, at = [], 0
+        while at < len(data):
+            end = min(at + BLOCK, len(data))
+            while end < len(data) and not space[data[end]]:
+                past = np.flatnonzero(space[data[end : end + BLOCK]])
+                end = end + int(past[0]) if len(past) else min(end + BLOCK, len(data))
+            out.append(word_hashes(data[at:end], np.array([0, end - at]), lower, space)[0])
+            at = end
+        hashes = np.concatenate(out)
+        return hashes, np.array([0, len(hashes)])
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < n]
@@ -68,6 +85,13 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.nd
 
     A text with fewer than k words, but some, gives its whole sequence as one.
     """
+    if len(firsts) == 2 and len(words) > 2 * WORDS:
+        parts = range(0, len(words) - k + 1, WORDS)
+        hashes = np.empty(len(words) - k + 1, np.uint64)
+        for s in parts:
+            part = words[s : s + WORDS + k - 1]
+            hashes[s : s + WORDS] = shingle_hashes(part, np.array([0, len(part)]), k)[0]
+        return hashes, np.zeros(len(hashes), np.uint8)
     counts = np.diff(firsts)
     n = len(words)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -86,6 +110,11 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.nd
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each text in turn, their offsets)."""
     hashes, text = shingle_hashes(*word_hashes(data, offsets), k)
+    if len(offsets) == 2:
+        hashes.sort()
+        if len(hashes):
+            hashes = hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
+        return hashes, np.array([0, len(hashes)])
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]
     new = np.ones(len(hashes), bool)

@@ -120,3 +120,17 @@ r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT e.b, r.root FROM r JOI
 o AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT s.doc_id, len(s.h) AS n_shingles, coalesce(o.root, s.doc_id) AS component_id, coalesce(o.root, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN c ON s.h = c.h LEFT JOIN o ON o.node = c.rep"""
+
+
+def ranked_search(k: int) -> str:
+    """Every document scored for every item, in whole numbers."""
+    terms = lambda table, key: f"SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM {table}"
+    return f"""WITH d AS ({terms("documents", "doc_id")}), b AS ({terms("benchmark", "item_id")}),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS big_n, sum(len(t)) AS big_l FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term, big_n),
+i AS (SELECT DISTINCT item_id, unnest(t) AS term FROM b),
+r AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * big_n) // big_l))))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL HAVING score > 0),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM r)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= {k}"""
