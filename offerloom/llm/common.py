@@ -61,9 +61,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, where the session has set none. Each task holds a
+#: batch or two in the JVM and in its worker, on top of a heap that may be full.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers whose path lacks it: on a
-    cluster always, since executors need not have the driver's folders."""
+    """Make ready for Python workers: small batches, and this package importable
+    in those whose path lacks it, on a cluster always, since executors need not
+    have the driver's folders."""
+    if not spark.sparkContext.getConf().contains(BATCH) and not getattr(spark, "_offerloom_batches", False):
+        spark.conf.set(BATCH, BATCH_BYTES)
+        spark._offerloom_batches = True
     root = Path(__file__).resolve().parents[2]
     seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if _is_local(spark) and any(p and os.path.realpath(p) == str(root) for p in seen):

@@ -170,11 +170,11 @@ def _search_block(index: TieredIndex, wanted: DataFrame, k: int) -> DataFrame:
     bounds = wanted.groupBy("item").agg(*[F.sum(f"r{t}").alias(f"all{t}") for t in range(last)])
     bounds = materialize(bounds, "bounds")
     open_terms, sums, pending = wanted, None, None
-    more = [f"r{t}" for t in range(last)]
     for tier in range(last + 1):
+        more = [f"r{t}" for t in range(tier, last)]
         found = index.postings.filter(F.col("tier") == tier).join(F.broadcast(open_terms), "term")
         found = found.select("item", "row", "doc_id", (F.col("weight") * F.col("impact")).alias("score"), *more)
-        sums = found if sums is None else sums.unionByName(found)
+        sums = found if sums is None else sums.select(found.columns).unionByName(found)
         sums = sums.groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ["score", *more]])
         if tier == last:
             break
