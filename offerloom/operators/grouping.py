@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions.prices import confidence
 
 KEY = ["k_kind", "k_pack", "k_unit", "k_count", "k_size", "k_organic", "k_variant"]
@@ -24,8 +25,8 @@ def with_key(offers: DataFrame) -> DataFrame:
     return offers.filter(F.coalesce("name", F.lit("")) != "").withColumns(key)
 
 
-def groups(found: DataFrame, order: str = "rel") -> DataFrame:
-    """One row for each bucket with two or more sources.
+def groups(found: DataFrame, order: str = "rel", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each bucket with two or more sources, and each value of ``by``.
 
     Adds to the key: n, n_sources, matched_name, best_price, best_price_source,
     unit (the only one, or null), best_ppu, best_ppu_source, attributes, score,
@@ -51,7 +52,7 @@ def groups(found: DataFrame, order: str = "rel") -> DataFrame:
     ]
     if "relevance_score" in found.columns:
         columns.append(F.max("relevance_score").alias("score"))
-    out = with_key(found).groupBy(*KEY).agg(*columns).filter("n_sources >= 2")
+    out = with_key(found).groupBy(*by, *KEY).agg(*columns).filter("n_sources >= 2")
     single = F.col("lo_unit") == F.col("hi_unit")
     out = out.withColumns({"unit": F.when(single, F.col("lo_unit")), "best_ppu": F.when(single, F.col("lo_ppu")), "best_ppu_source": F.when(single, F.col("ppu_source"))})
     return out.withColumn("match_confidence", confidence(F.col("n_sources"), F.col("attributes.diaper_size"))).drop("lo_unit", "hi_unit", "lo_ppu", "ppu_source")
@@ -59,32 +60,41 @@ def groups(found: DataFrame, order: str = "rel") -> DataFrame:
 
 def numbered(found: DataFrame) -> DataFrame:
     """Groups with ``group_no`` by first appearance and, if scored, ``group_rank``."""
-    out = found.withColumn("group_no", F.row_number().over(Window.orderBy("first")) - 1)
+    out = tables.numbered(found, ["first"], "group_no")
     if "score" in found.columns:
-        out = out.withColumn("group_rank", F.row_number().over(Window.orderBy(F.desc("score"), "first")))
+        out = tables.numbered(out, [F.desc("score"), F.col("first")], "group_rank", start=1)
     return out.withColumn("group_id", F.concat(F.lit("group-"), F.col("group_no").cast("string")))
 
 
-def same_bucket(a: str, b: str) -> Column:
+def numbered_each(found: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``numbered`` within each value of ``by``, whose groups are one task's."""
+    own = Window.partitionBy(*by)
+    out = found.withColumn("group_no", F.row_number().over(own.orderBy("first")).cast("bigint") - 1)
+    if "score" in found.columns:
+        out = out.withColumn("group_rank", F.row_number().over(own.orderBy(F.desc("score"), "first")).cast("bigint"))
+    return out.withColumn("group_id", F.concat(F.lit("group-"), F.col("group_no").cast("string")))
+
+
+def same_bucket(a: str, b: str, by: tuple[str, ...] = ()) -> Column:
     out = F.lit(True)
-    for k in KEY:
+    for k in (*by, *KEY):
         out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
     return out
 
 
-def members(found: DataFrame, made: DataFrame, order: str = "rel") -> DataFrame:
+def members(found: DataFrame, made: DataFrame, order: str = "rel", by: tuple[str, ...] = ()) -> DataFrame:
     """Offers in groups with ``member_rank``: by unit price if the group has one
     unit, then price, then relevance; badges mark the best."""
     offers = with_key(found).alias("o")
     kept = [c for c in made.columns if c in ("group_id", "group_rank", "best_price", "best_ppu", "unit")]
-    joined = offers.join(made.alias("g"), same_bucket("o", "g")).select("o.*", *[F.col(f"g.{c}").alias(f"g_{c}" if c in ("unit",) else c) for c in kept])
+    joined = offers.join(made.alias("g"), same_bucket("o", "g", by)).select("o.*", *[F.col(f"g.{c}").alias(f"g_{c}" if c in ("unit",) else c) for c in kept])
     by_unit = F.when(F.col("g_unit").isNotNull(), F.coalesce(F.col("price_per_unit.value"), F.lit(float("inf")))).otherwise(0.0)
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(by_unit, "price", order))
+    rank = F.row_number().over(Window.partitionBy(*by, *KEY).orderBy(by_unit, "price", order))
     best = F.col("price") == F.col("best_price")
     best_unit = (F.col("price_per_unit.value") == F.col("best_ppu")) & (F.col("price_per_unit.unit") == F.col("g_unit"))
     return joined.withColumns({"member_rank": rank, "is_best": best, "is_best_unit": F.coalesce(best_unit, F.lit(False)) & ~best})
 
 
-def ungrouped(found: DataFrame, in_groups: DataFrame) -> DataFrame:
-    """Offers whose id is in no group."""
-    return found.join(in_groups.select("id"), "id", "left_anti").select(found.columns)
+def ungrouped(found: DataFrame, in_groups: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Offers whose id is in no group (of their ``by``)."""
+    return found.join(in_groups.select(*by, "id"), [*by, "id"], "left_anti").select(found.columns)

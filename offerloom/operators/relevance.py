@@ -2,7 +2,7 @@
 
 The query is normalised once on the driver; offers are normalised once each.
 Order is a sort key (score, then input order) and not a rank, so scoring and
-grouping need no global window; ranks are made only for what is shown.
+grouping need no ranks; those are made for what is shown, without one task for all.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, some, split_words, url_slug
+from ..functions.text import normalize_text, some, split_words, trim_ws, url_slug
+from ..tables import numbered
 
 MIN_SCORE = 30
 FUZZY_FLOOR = 0.4
@@ -45,24 +46,30 @@ def name_score(name: Column, query: Column) -> Column:
     return F.when(name == query, 40).when(F.contains(name, query), 30).when(F.contains(query, name), 25).otherwise(0)
 
 
-def coverage_score(haystack: Column, words: list[str]) -> Column:
-    if not words:
-        return F.lit(0.0)
-    found = F.size(F.array_intersect(F.array(*map(F.lit, words)), split_words(haystack)))
-    return found / F.lit(float(len(words))) * F.lit(30.0)
+def _listed(words: list[str] | Column) -> Column:
+    return words if isinstance(words, Column) else F.array(*map(F.lit, words)).cast("array<string>")
 
 
-def order_score(haystack: Column, words: list[str]) -> Column:
-    """Share of the words found one after the other, a missing one skipped."""
-    if not words:
-        return F.lit(0.0)
+def _share(n: Column, words: Column, most: float) -> Column:
+    return F.when(F.size(words) > 0, n / F.size(words).cast("double") * F.lit(most)).otherwise(0.0)
+
+
+def coverage_score(haystack: Column, words: list[str] | Column) -> Column:
+    """Points for the distinct words of the query that are among the text's."""
+    words = _listed(words)
+    return _share(F.size(F.array_intersect(words, split_words(haystack))), words, 30.0)
+
+
+def order_score(haystack: Column, words: list[str] | Column) -> Column:
+    """Points for the words found one after the other, a missing one skipped."""
+    words = _listed(words)
     begin = F.struct(F.lit(0).alias("last"), F.lit(0).alias("n"))
 
     def step(acc: Column, w: Column) -> Column:
-        at = F.locate_from(haystack, w, acc["last"] + 1) if hasattr(F, "locate_from") else F.call_function("locate", w, haystack, acc["last"] + 1)
+        at = F.call_function("locate", w, haystack, acc["last"] + 1)
         return F.struct(F.when(at > 0, at).otherwise(acc["last"]).alias("last"), (acc["n"] + (at > 0).cast("int")).alias("n"))
 
-    return F.aggregate(F.array(*map(F.lit, words)), begin, step)["n"] / F.lit(float(len(words))) * F.lit(15.0)
+    return _share(F.aggregate(words, begin, step)["n"], words, 15.0)
 
 
 def fuzzy_score(name: Column, query: Column) -> Column:
@@ -72,23 +79,47 @@ def fuzzy_score(name: Column, query: Column) -> Column:
     return F.when(alike >= FUZZY_FLOOR, alike * F.lit(15.0)).otherwise(0.0)
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value``, made once for each row however often it is read:
+    neither filters nor other expressions take what a generator makes apart."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def score(offers: DataFrame, query: str) -> DataFrame:
     """Offers with ``relevance_score``."""
     normal = normalize_query(check_query(query))
     words = list(dict.fromkeys(w for w in normal.split(" ") if len(w) > 2))
-    q = F.lit(normal)
-    texts = offers.withColumns({"__name": normalize_text(F.coalesce("name", F.lit(""))), "__hay": normalize_text(searchable_text())})
-    name, hay = F.col("__name"), F.col("__hay")
+    return _scored(offers, F.struct(F.lit(normal).alias("normal"), _listed(words).alias("words")))
+
+
+def score_each(offers: DataFrame, asked: str = "asked") -> DataFrame:
+    """Offers with ``relevance_score`` to the query in their own column ``asked``;
+    those of a null or blank query go."""
+    some = offers.filter(F.coalesce(trim_ws(F.col(asked)), F.lit("")) != "")
+    normal = normalize_text(F.col(asked))
+    return _scored(some, F.struct(normal.alias("normal"), F.array_distinct(split_words(normal)).alias("words")))
+
+
+def _scored(offers: DataFrame, query: Column) -> DataFrame:
+    """``query`` is a struct of the normalised query and its distinct words."""
+    own = F.struct(normalize_text(F.coalesce("name", F.lit(""))).alias("name"), normalize_text(searchable_text()).alias("hay"), query.alias("q"))
+    texts = _once(offers, own, "__text")
+    name, hay, q, words = (F.col(f"__text.{c}") for c in ("name", "hay", "q.normal", "q.words"))
     total = name_score(name, q) + coverage_score(hay, words) + order_score(hay, words) + fuzzy_score(name, q)
-    return texts.withColumn("relevance_score", F.least(F.lit(100), F.floor(total + 0.5).cast("int"))).drop("__name", "__hay")
+    return _once(texts, F.least(F.lit(100), F.floor(total + 0.5).cast("int")), "relevance_score").drop("__text")
 
 
 def relevant(offers: DataFrame, query: str, min_score: int = MIN_SCORE) -> DataFrame:
     """Offers that reach the score, with the key ``rel`` that orders them."""
-    found = score(offers, query).filter(F.col("relevance_score") >= min_score)
+    return reaching(score(offers, query), min_score)
+
+
+def reaching(scored: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
+    """Scored offers that reach the score, with the key ``rel`` that orders them."""
+    found = scored.filter(F.col("relevance_score") >= min_score)
     return found.withColumn("rel", F.struct((-F.col("relevance_score")).alias("score"), "ord"))
 
 
 def ranked(found: DataFrame, by: str = "rel", name: str = "rel_rank") -> DataFrame:
-    """Rank among what is shown for one query."""
-    return found.withColumn(name, F.row_number().over(Window.orderBy(by)))
+    """Rank, from 1, among what is shown for one query."""
+    return numbered(found, [by], name, start=1)

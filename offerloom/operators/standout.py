@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 LEAST_SAVING = 0.20
 
 
-def candidates(loose: DataFrame, groups: DataFrame, least: float = LEAST_SAVING) -> DataFrame:
+def candidates(loose: DataFrame, groups: DataFrame, least: float = LEAST_SAVING, by: tuple[str, ...] = ()) -> DataFrame:
     """Ungrouped offers at ``least`` below the cheapest group of kind and unit.
 
     Groups come down to one row for each kind and unit first, so offers meet one
     row each, however many groups there are.
     """
-    best = groups.filter("best_ppu IS NOT NULL").groupBy(F.col("attributes.kind").alias("__kind"), F.col("unit").alias("__unit")).agg(F.min("best_ppu").alias("beaten_ppu"))
+    best = groups.filter("best_ppu IS NOT NULL").groupBy(*by, F.col("attributes.kind").alias("__kind"), F.col("unit").alias("__unit")).agg(F.min("best_ppu").alias("beaten_ppu"))
     offers = loose.filter("price_per_unit IS NOT NULL AND attributes.kind <> ''")
-    joined = offers.join(best, (F.col("attributes.kind") == F.col("__kind")) & (F.col("price_per_unit.unit") == F.col("__unit"))).drop("__kind", "__unit")
+    offers = offers.withColumns({"__kind": F.col("attributes.kind"), "__unit": F.col("price_per_unit.unit")})
+    joined = offers.join(best, [*by, "__kind", "__unit"]).drop("__kind", "__unit")
     saved = F.lit(1.0) - F.try_divide(F.col("price_per_unit.value"), F.col("beaten_ppu"))
     return joined.withColumn("savings", saved).filter(F.col("savings") >= least)
 
@@ -26,5 +27,12 @@ def standout(loose: DataFrame, groups: DataFrame, order: str = "rel", least: flo
     return candidates(loose, groups, least).orderBy(F.desc("savings"), "price_per_unit.value", order).limit(1)
 
 
+def standout_each(loose: DataFrame, groups: DataFrame, by: tuple[str, ...], order: str = "rel", least: float = LEAST_SAVING) -> DataFrame:
+    """``standout`` of each value of ``by``."""
+    found = candidates(loose, groups, least, by)
+    first = F.struct((-F.col("savings")).alias("s"), F.col("price_per_unit.value").alias("v"), F.col(order).alias("o"))
+    return found.groupBy(*by).agg(F.min_by(F.struct("id", "name", "price", "source", "savings", "beaten_ppu"), first).alias("d")).select(*by, "d.*")
+
+
 def without(loose: DataFrame, deal: DataFrame) -> DataFrame:
     return loose.join(F.broadcast(deal.select("id")), "id", "left_anti").select(loose.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import accounting
+from .plans import many
 from .schema import SOURCES
 from .sources import payloads
 from .sources.offers import table
@@ -234,12 +235,55 @@ def counts_of_payloads(spark: SparkSession, d: str) -> DataFrame:
     return accounting.count_by_source(found).select("source", "n")
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Each query asks for what its block's first part is called."""
+    parts = _parts(spark, d)
+    return parts.groupBy("query").agg(F.min_by("p_name", "p_partkey").alias("asked"))
+
+
+def payload_search(spark: SparkSession, d: str) -> DataFrame:
+    """From the payloads of all sources to the groups of every query."""
+    made = many.search_payloads(_all_payloads(spark, d), _asked(spark, d)).groups
+    return made.select("query", "group_id", "group_rank", "n", "n_sources", "matched_name", "best_price", "best_price_source", "match_confidence", "score")
+
+
+def payload_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """How many offers each query found in each source, or why it failed."""
+    stored = _all_payloads(spark, d)
+    return accounting.outcome_each(payloads.fetch_status(stored), payloads.read_offers(stored))
+
+
+def payload_found(spark: SparkSession, d: str) -> DataFrame:
+    """The offers that reach the score of their query."""
+    found = many.search_payloads(_all_payloads(spark, d), _asked(spark, d)).found
+    return found.select("query", "source", "name", "price", "relevance_score")
+
+
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g'))"
+_SEARCHED = f"""WITH {_PARTS},
+v AS (SELECT query, arg_min(p_name, p_partkey) AS q, string_split(arg_min(p_name, p_partkey), ' ') AS ws FROM p GROUP BY query),
+f AS (""" + " UNION ALL ".join(f"SELECT {i} AS so, '{s}' AS source, query, idx, name, price, brand, product_url FROM ({sql})" for i, (s, sql) in enumerate(EXPECTED.items())) + f"""),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, query ORDER BY idx) AS place FROM f WHERE NOT {_FAILED}),
+t AS (SELECT r.*, q, list_filter(ws, lambda w: length(w) > 2) AS ws, {_NORMAL.format("name")} AS nm,
+  {_NORMAL.format("concat_ws(' ', name, brand, regexp_replace(regexp_extract(product_url, '([^/]+)/*$', 1), '[-_]', ' ', 'g'))")} AS hay FROM r JOIN v USING (query) WHERE place <= {payloads.MOST}),
+u AS (SELECT *, CASE WHEN nm = q THEN 40 WHEN contains(nm, q) THEN 30 WHEN contains(q, nm) THEN 25 ELSE 0 END AS by_name,
+  len(list_filter(ws, lambda w: list_contains(string_split(hay, ' '), w))) / CAST(len(ws) AS DOUBLE) * CAST(30.0 AS DOUBLE) AS coverage,
+  instr(hay, ws[1]) AS a1, CASE WHEN len(ws) > 1 THEN instr(substr(hay, instr(hay, ws[1]) + 1), ws[2]) ELSE 0 END AS a2,
+  CAST(1.0 AS DOUBLE) - CAST(levenshtein(nm, q) AS DOUBLE) / greatest(length(nm), length(q)) AS alike FROM t),
+w AS (SELECT *, CAST(least(100, floor(by_name + coverage + (CAST(a1 > 0 AS INT) + CAST(a2 > 0 AS INT)) / CAST(len(ws) AS DOUBLE) * CAST(15.0 AS DOUBLE) + CASE WHEN alike >= 0.4 THEN alike * CAST(15.0 AS DOUBLE) ELSE 0 END + 0.5)) AS INT) AS score FROM u),
+x AS (SELECT * FROM w WHERE score >= 30)"""
+_OUTCOME = f"""WITH {_PARTS}, {_FOUND}, c AS (SELECT query, source, count(*) AS n FROM r WHERE place <= {payloads.MOST} GROUP BY ALL),
+s AS (SELECT DISTINCT query, source FROM p, (SELECT unnest([{", ".join(f"'{x}'" for x in SOURCES)}]) AS source))
+SELECT s.query, s.source, coalesce(n, 0) AS n, CASE WHEN {_FAILED.replace("source", "s.source").replace("query", "s.query")} THEN CASE s.source WHEN 'dm' THEN 'HTTP 503' ELSE 'challenge page' END END AS error FROM s LEFT JOIN c ON s.query = c.query AND s.source = c.source"""
 _ADDRESSES = ", ".join(f"concat('{b}', a, '{e}') AS {s}" for s, u in payloads.SEARCH.items() for b, e in [u.split("{q}")])
-QUERIES |= {f.__name__: f for f in (payload_fan_out, payload_errors, payload_status, search_addresses, counts_of_payloads)}
+QUERIES |= {f.__name__: f for f in (payload_fan_out, payload_errors, payload_status, search_addresses, counts_of_payloads, payload_search, payload_found, payload_outcome)}
 SQL |= {
     "payload_fan_out": f"WITH {_PARTS}, {_FOUND} SELECT query, source, count(*) AS n, min(price) AS least, max(price) AS most FROM r WHERE place <= {payloads.MOST} GROUP BY ALL",
     "payload_errors": f"WITH {_PARTS}, s AS (SELECT DISTINCT query, source FROM p, (SELECT unnest({_CODES}) AS source)) SELECT query, source, NOT {_FAILED} AS success, CASE WHEN {_FAILED} THEN CASE source WHEN 'dm' THEN 'HTTP 503' ELSE 'challenge page' END END AS error FROM s",
     "payload_status": _STATUS,
     "search_addresses": f"SELECT p_partkey, {_ADDRESSES} FROM (SELECT p_partkey, url_encode(concat(p_name, ' & ', p_brand)) AS a FROM part)",
     "counts_of_payloads": f"WITH {_PARTS}, {_FOUND} SELECT d.source, coalesce(n, 0) AS n FROM (SELECT unnest({_CODES}) AS source) d LEFT JOIN (SELECT source, count(*) AS n FROM r WHERE place <= {payloads.MOST} GROUP BY source) c ON d.source = c.source",
+    "payload_search": _SEARCHED + " SELECT query, 'group-0' AS group_id, 1::BIGINT AS group_rank, count(*) AS n, count(DISTINCT source) AS n_sources, arg_min(name, (length(name), -score, so, idx)) AS matched_name, min(price) AS best_price, arg_min(source, (price, -score, so, idx)) AS best_price_source, CASE WHEN count(DISTINCT source) >= 3 THEN 'high' ELSE 'medium' END AS match_confidence, max(score) AS score FROM x GROUP BY query HAVING count(DISTINCT source) >= 2",
+    "payload_found": _SEARCHED + " SELECT query, source, name, price, score AS relevance_score FROM x",
+    "payload_outcome": _OUTCOME,
 }

@@ -1,4 +1,4 @@
-"""The whole search as one lazy plan."""
+"""The whole search: what is relevant is written once, the rest is lazy."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accounting, enrich, grouping, relevance, standout
+from ..tables import written
 
 
 @dataclass
@@ -56,7 +57,8 @@ def search(offers: DataFrame, query: str, attributes: DataFrame | None = None, m
     counts = accounting.count_by_source(offers)
     if attributes is not None:
         offers = enrich.attach_attributes(offers, attributes)
-    found = relevance.relevant(enrich.with_per_unit(offers), query, min_score)
+    # read by groups, members and what is in none
+    found = written(relevance.relevant(enrich.with_per_unit(offers), query, min_score), "found")
     made = grouping.numbered(grouping.groups(found.filter(F.lit(enrichment_error is None))))
     in_groups = grouping.members(found, made)
     loose = grouping.ungrouped(found, in_groups)

@@ -71,3 +71,48 @@ def test_failures_are_rows(spark):
 
 def test_search_urls(spark):
     assert spark.range(1).select(payloads.search_url("dm", F.lit("a b"))).first()[0].endswith("?query=a%20b")
+
+
+def test_pages_of_one_query(spark):
+    """Each page is read in its own way, and its offers have ids of their own."""
+    link = '<a href="/thing-p7/">Thing seven</a> 12,50 Lei'
+    every = pages(spark, "bebetei", LISTED).withColumn("page", F.lit(0)).union(pages(spark, "bebetei", link).withColumn("page", F.lit(1))).union(pages(spark, "bebetei", LISTED).withColumn("page", F.lit(2)))
+    got = payloads.read_offers(every).orderBy("ord").collect()
+    assert [r.name for r in got] == ["A", "B", "A", "B", "Thing seven", "A", "B", "A", "B"]
+    assert len({r.id for r in got}) == 9
+    assert [got[0].id, got[4].id, got[5].id] == ["bebetei-0", "bebetei-1-0", "bebetei-2-0"]
+    # without numbers no page is lost either
+    assert payloads.read_offers(every.drop("page")).count() == 9
+
+
+def test_a_page_of_many_links(spark):
+    """A link carries what stands around it, and prices are its own."""
+    body = "".join(f'<a href="/thing-p{i}/">Thing {i} kg</a> {i + 1},50 Lei <img src="/i{i}.png"> {"x" * 1600}' for i in range(1500))
+    got = payloads.read_offers(pages(spark, "bebetei", body), most=5000).orderBy("ord").collect()
+    # 500 characters back reach no other price
+    assert [(r.name, r.price, r.image_url) for r in got] == [(f"Thing {i} kg", i + 1.5, f"https://comenzi.bebetei.ro/i{i}.png") for i in range(1500)]
+
+
+def test_workers_without_the_package(tmp_path):
+    """Python functions travel by value: workers need not import the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from offerloom.sources import payloads
+from offerloom.operators import relevance
+body = '<script type="application/ld+json">{{"@type":"Product","name":"Crem\\u0103 SPF 50+","url":"https://x/a-b/","offers":{{"price":10}}}}</script>'
+rows = spark.createDataFrame([("notino", "q", 200, body), ("bebetei", "q", 200, '<a href="/t-p1/">Thing</a> 5,00 Lei')], "source string, query string, status int, body string")
+found = payloads.read_offers(rows)
+print("ROWS", sorted((r.name, r.relevance_score > 0) for r in relevance.score(found, "crema spf50").collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS [('Cremă SPF 50+', True), ('Thing', False)]" in out.stdout, out.stderr[-3000:]
