@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accounting, enrich, grouping, relevance, standout
-from ..tables import written
+from ..tables import numbered, written
 
 
 @dataclass
@@ -28,6 +28,29 @@ class SearchResult:
     def total(self) -> DataFrame:
         return self.found.agg(F.count(F.lit(1)).alias("total"))
 
+    def entries(self) -> DataFrame:
+        """(line, entry, group_id, id, name, price, source): the result in order,
+        a row for each group, member, other offer and the standout.
+
+        Lines are numbered from 0 without one task for all of them, and each
+        range of lines is its own task's: written, the files' order is theirs.
+        """
+        none = F.lit(None).cast("string")
+        zero = F.lit(0).cast("bigint")
+        key = lambda part, a, b, rel: [F.lit(part).alias("__part"), a.cast("bigint").alias("__a"), b.cast("bigint").alias("__b"), rel.alias("__rel")]
+        rel = F.lit(None).cast(self.found.schema["rel"].dataType)
+        offer = ["id", "name", "price", "source"]
+        parts = [
+            self.groups.select(*key(1, F.col("group_rank"), zero, rel), F.lit("group").alias("entry"), "group_id", none.alias("id"), F.col("matched_name").alias("name"), F.col("best_price").alias("price"), F.col("best_price_source").alias("source")),
+            self.members.select(*key(1, F.col("group_rank"), F.col("member_rank"), rel), F.lit("member").alias("entry"), "group_id", *offer),
+            self.ungrouped.select(*key(2, zero, zero, F.col("rel")), F.lit("ungrouped").alias("entry"), none.alias("group_id"), *offer),
+            self.deal.select(*key(3, zero, zero, rel), F.lit("standout").alias("entry"), none.alias("group_id"), *offer),
+        ]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return numbered(every, ["__part", "__a", "__b", "__rel"], "line").select("line", "entry", "group_id", *offer)
+
     def document(self) -> DataFrame:
         """One row, one JSON document; what is empty is left out."""
         offer = F.struct("id", "name", "price", "currency", "source", "product_url", "attributes", "price_per_unit", "relevance_score")

@@ -315,12 +315,95 @@ def jsonld_walk(spark: SparkSession, d: str) -> DataFrame:
     return payloads.json_ld_offers(pages, "bebetei").select("query", "id", "name", "price", "product_url")
 
 
-@query()
+#: Two decimals; only multiples of an eighth can lie halfway, and go up.
+_TWO = "format('{{:.2f}}', CASE WHEN {0} * 8 = floor({0} * 8) THEN {0} + 0.0001 ELSE {0} END)"
+
+
+@query(
+    _OFFERS
+    + f""" SELECT id, concat({_TWO.format("ppu")}, ' RON / 100', unit) AS unit_label, concat(CAST(pack AS BIGINT), unit) AS pack_label FROM o"""
+)
 def labels(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("attributes")
     return offers(spark, d).select("id", prices.per_unit_label(F.col("price_per_unit")).alias("unit_label"), prices.pack_label(a).alias("pack_label"))
 
 
+_PIECES = "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_partkey % 4 AS kind FROM part"
+
+
+@query(
+    f"""SELECT p_partkey, CASE kind WHEN 0 THEN concat(CAST(size AS BIGINT), ' x 250 g') WHEN 1 THEN '250 g' WHEN 2 THEN concat(CAST(size AS BIGINT), ' buc') ELSE '' END AS pack_label,
+CASE WHEN kind = 2 THEN concat({_TWO.format("(CAST(7.0 AS DOUBLE) / size)")}, ' RON / buc') END AS unit_label, concat(CAST(floor(size / 64 * 100 + 0.5) AS BIGINT), '%') AS savings_label FROM ({_PIECES}) WHERE size > 1"""
+)
+def labels_of_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of packs of several, of single packs, of pieces, and of none of these."""
+    kind, size = F.pmod("p_partkey", F.lit(4)), F.col("p_size").cast("double")
+    pack = F.when(kind < 2, F.struct(F.lit(250.0).alias("value"), F.lit("g").alias("unit"), F.lit("250 g").alias("original")))
+    made = F.struct(pack.alias("pack"), F.when(kind.isin(0, 2), size).alias("count"))
+    piece = F.when(kind == 2, F.struct((F.lit(7.0) / size).alias("value"), F.lit("piece").alias("unit")))
+    return table(spark, d, "part").filter("p_size > 1").select("p_partkey", prices.pack_label(made).alias("pack_label"), prices.per_unit_label(piece).alias("unit_label"), prices.savings_label(size / 64).alias("savings_label"))
+
+
+@query("SELECT page_id, CASE WHEN length(url) <= 30 THEN url ELSE concat(substr(url, 1, 29), '…') END AS short, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS digest FROM pages")
+def escaped_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.truncate(F.col("url"), 30).alias("short"), F.md5(text.escape_html(F.col("html"))).alias("digest"))
+
+
+@query(
+    """SELECT p_partkey, concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN ' marime ' ELSE ' x ' END, p_size, CASE WHEN p_size % 3 = 0 THEN '+' ELSE '' END) AS plain,
+CASE WHEN p_size % 3 = 0 THEN concat(p_size, '+') WHEN p_partkey % 2 = 0 OR p_size <= 8 THEN CAST(p_size AS VARCHAR) END AS size_stage FROM part"""
+)
+def legacy_size_stage(spark: SparkSession, d: str) -> DataFrame:
+    told = F.when(F.col("p_partkey") % 2 == 0, " Mărime: ").otherwise(" (x) ")
+    name = F.concat(F.upper("p_name"), told, F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, "+").otherwise("!"))
+    plain = table(spark, d, "part").select("p_partkey", legacy.plain_text(name).alias("plain"))
+    return plain.select("p_partkey", "plain", legacy.size_stage(F.split("plain", " ")).alias("size_stage"))
+
+
+@query(
+    _OFFERS
+    + r""", w AS (SELECT name, so, pa, su, string_split(trim(regexp_replace(lower(name), '[^a-z0-9+]+', ' ', 'g')), ' ') AS tokens, trim(regexp_replace(lower(brand), '[^a-z0-9+]+', ' ', 'g')) AS brand FROM o),
+x AS (SELECT name, so, pa, su, brand, array_to_string(list_filter(tokens, lambda t: t <> brand)[1:4], ' ') AS product_line FROM w)
+SELECT brand, product_line, arg_min(name, (-length(name), so, pa, su)) AS name FROM x GROUP BY ALL"""
+)
+def legacy_longest_name(spark: SparkSession, d: str) -> DataFrame:
+    return legacy.legacy_groups(offers(spark, d)).select("brand", "product_line", "name")
+
+
+@query(_OFFERS + _SCORES + " SELECT count(*) AS total FROM f")
+def search_total(spark: SparkSession, d: str) -> DataFrame:
+    return search(offers(spark, d), QUERY).total()
+
+
+@query(_OFFERS + _SCORES + _FOUND_GROUPS.replace("min(rel) AS first,", "min(rel) AS first, arg_min(brand, rel) AS head_brand, arg_min(id, rel) AS head_id,") + " SELECT kind, pack, unit, organic, head_brand FROM fg")
+def group_head_attributes(spark: SparkSession, d: str) -> DataFrame:
+    made = grouping.groups(relevance.relevant(offers(spark, d), QUERY))
+    return _grouped(made, F.col("attributes.brand").alias("head_brand"))
+
+
+_ENTRIES = (
+    _OFFERS
+    + _SCORES
+    + _FOUND_GROUPS
+    + f""", n AS (SELECT *, {_RANKED} FROM fg),
+m AS (SELECT group_rank, group_id, f.id, f.name, f.price, f.source, row_number() OVER (PARTITION BY group_id ORDER BY f.ppu, f.price, rel) AS place FROM f JOIN n ON f.kind = n.kind AND f.pack = n.pack AND f.unit = n.unit AND f.organic = n.organic),
+u AS (SELECT * FROM f WHERE id NOT IN (SELECT id FROM m)),
+b AS (SELECT kind, unit, min(best_ppu) AS beaten_ppu FROM fg GROUP BY ALL),
+c AS (SELECT u.*, CAST(1.0 AS DOUBLE) - ppu / beaten_ppu AS savings FROM u JOIN b ON u.kind = b.kind AND u.unit = b.unit WHERE CAST(1.0 AS DOUBLE) - ppu / beaten_ppu >= 0.2 ORDER BY savings DESC, ppu, rel LIMIT 1),
+e AS (SELECT 1 AS part, group_rank AS a, 0 AS b, 'group' AS entry, group_id, NULL AS id, matched_name AS name, best_price AS price, best_price_source AS source FROM n
+UNION ALL SELECT 1, group_rank, place, 'member', group_id, id, name, price, source FROM m
+UNION ALL SELECT 2, rel, 0, 'ungrouped', NULL, id, name, price, source FROM u WHERE id NOT IN (SELECT id FROM c)
+UNION ALL SELECT 3, 0, 0, 'standout', NULL, id, name, price, source FROM c)
+SELECT row_number() OVER (ORDER BY part, a, b) - 1 AS line, entry, group_id, id, name, price, source FROM e"""
+)
+
+
+@query(_ENTRIES)
+def search_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The result's groups with their members, the rest and the standout, line by line."""
+    return search(offers(spark, d), QUERY).entries()
+
+
 @query()
 def search_document(spark: SparkSession, d: str) -> DataFrame:
     return search(offers(spark, d), QUERY).document()

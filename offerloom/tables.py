@@ -46,15 +46,15 @@ def numbered(df: DataFrame, by: list[str | Column], name: str, start: int = 0) -
     """
     spark = df.sparkSession
     at = F.monotonically_increasing_id()
-    placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", at), "ordered")
-    part = F.shiftright("__at", _ROW_BITS)
+    placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__n_at", at), "ordered")
+    part = F.shiftright("__n_at", _ROW_BITS)
     counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     before, begins = start, []
     for r in counts:
         # the row bits count from 0 in each range
         begins.append((r["part"], before))
         before += r["n"]
-    offsets = F.broadcast(spark.createDataFrame(begins, "__part bigint, __before bigint"))
-    joined = placed.withColumn("__p", part).join(offsets, F.col("__p") == F.col("__part"))
-    row = F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return joined.withColumn(name, F.col("__before") + row).select(*df.columns, name)
+    offsets = F.broadcast(spark.createDataFrame(begins, "__n_part bigint, __n_before bigint"))
+    joined = placed.withColumn("__n_range", part).join(offsets, F.col("__n_range") == F.col("__n_part"))
+    row = F.col("__n_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return joined.withColumn(name, F.col("__n_before") + row).select(*df.columns, name)
