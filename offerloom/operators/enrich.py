@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,37 +25,100 @@ def _json_kind(value: Column) -> Column:
     return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").otherwise(F.lower(kind))
 
 
-def parse_response(responses: DataFrame) -> DataFrame:
-    """(pos, id, brand, ... variant) of the elements of a JSON array.
+#: Fixed value: what a search tells when no model gave attributes.
+UNAVAILABLE = "Categorization temporarily unavailable"
+#: Offers that one call of a model is told of.
+CALL = 140
 
-    All or nothing: if the body is no array or one element lacks a key or has a
-    wrong type, there are no rows.
-    """
-    parsed = responses.select(F.try_parse_json("body").alias("v"))
-    items = parsed.select(F.expr("try_variant_get(v, '$', 'array<variant>')").alias("items"))
-    rows = items.select(F.posexplode("items").alias("pos", "item"))
+#: Takes the lines that tell of a batch of offers, returns its response text.
+Model = Callable[[list[str]], str]
+
+
+def responses(offers: DataFrame, models: list[Model], most: int = CALL) -> DataFrame:
+    """(query, body, error) of the models' answers to batches of offers.
 
-    def typed(key: str, kind: str, null: bool) -> Column:
-        value = F.try_variant_get("item", f"$.{key}", "variant")
+    A batch holds up to ``most`` offers, and those of one query where ``offers``
+    has a column ``query``. Models are tried in their order: one that raises an
+    error with 503 in its text is passed over for the next, any other error and
+    an empty answer end the batch. Either a body or an error is told of each
+    batch. Calls are made where the offers are, so batches are answered side by
+    side; a task that is run again asks again.
+    """
+    query = F.col("query").cast("string") if "query" in offers.columns else F.lit(None).cast("string")
+    lines = offers.select(query.alias("query"), "ord", F.to_json(F.struct("id", "name")).alias("line"))
+    if "query" in offers.columns:
+        lines = lines.repartition("query")
+    lines = lines.sortWithinPartitions("query", "ord").select("query", "line")
+
+    def answer(batch: list[str]) -> tuple[str | None, str | None]:
+        for model in models:
+            try:
+                return (body, None) if (body := model(batch)) else (None, UNAVAILABLE)
+            except Exception as e:  # a model is foreign code: whatever it raises is its failure
+                if "503" not in str(e):
+                    break
+        return None, UNAVAILABLE
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (now, *answer(held))], ["query", "body", "error"])
+        for rows in batches:
+            for q, line in zip(rows.column("query").to_pylist(), rows.column("line").to_pylist()):
+                if held and (q != now or len(held) == most):
+                    yield told()
+                    held = []
+                now = q
+                held.append(line)
+        if held:
+            yield told()
+
+    return lines.mapInArrow(call, "query string, body string, error string")
+
+
+def _judged(answers: DataFrame) -> DataFrame:
+    """``answers`` (body, ...) with their elements, null unless all are as they must be."""
+    items = F.expr("try_variant_get(try_parse_json(body), '$', 'array<variant>')")
+
+    def typed(item: Column, key: str, kind: str, null: bool) -> Column:
+        value = F.try_variant_get(item, f"$.{key}", "variant")
         found = F.coalesce(_json_kind(value), F.lit("absent"))
         return (found == kind) | (F.lit(null) & F.coalesce(F.is_variant_null(value), F.lit(False)))
 
-    valid = F.lit(True)
-    for key, kind in REQUIRED.items():
-        valid = valid & typed(key, kind, False)
-    for key, kind in NULLABLE.items():
-        valid = valid & typed(key, kind, True)
-    rows = rows.withColumn("valid", valid)
-    gate = rows.agg(F.coalesce(F.bool_and("valid"), F.lit(False)).alias("all_valid"))
-    columns = [F.try_variant_get("item", f"$.{k}", t).alias(k) for k, t in {**{k: v for k, v in REQUIRED.items()}, **{k: "double" for k in NULLABLE}}.items()]
-    # one row against the elements of one response
-    return rows.join(F.broadcast(gate.filter("all_valid"))).select("pos", *columns)
+    def valid(item: Column) -> Column:
+        out = F.lit(True)
+        for keys, null in ((REQUIRED, False), (NULLABLE, True)):
+            for key, kind in keys.items():
+                out = out & typed(item, key, kind, null)
+        return out
+
+    held = answers.select("*", F.explode(F.array(items)).alias("__items"))
+    return held.withColumn("items", F.when(F.forall("__items", valid), F.col("__items"))).drop("__items")
+
+
+def parse_response(answers: DataFrame) -> DataFrame:
+    """(query if there is one, pos, id, brand, ... variant) of the elements of
+    JSON arrays.
+
+    All or nothing for each answer: if the body is no array or one element lacks
+    a key or has a wrong type, it gives no rows.
+    """
+    own = ["query"] if "query" in answers.columns else []
+    rows = _judged(answers.select(*own, "body")).select(*own, F.posexplode("items").alias("pos", "item"))
+    columns = [F.try_variant_get("item", f"$.{k}", t).alias(k) for k, t in {**REQUIRED, **{k: "double" for k in NULLABLE}}.items()]
+    return rows.select(*own, "pos", *columns)
+
+
+def failures(answers: DataFrame) -> DataFrame:
+    """(query, error) of the queries of which a batch has no valid answer."""
+    bad = _judged(answers.select("query", "body", "error")).filter("error IS NOT NULL OR items IS NULL")
+    return bad.groupBy("query").agg(F.min(F.coalesce("error", F.lit(UNAVAILABLE))).alias("error"))
 
 
 def last_wins(rows: DataFrame) -> DataFrame:
-    """One row for each id, that with the largest ``pos``."""
-    values = [c for c in rows.columns if c not in ("id", "pos")]
-    return rows.groupBy("id").agg(F.max_by(F.struct(*values), "pos").alias("a")).select("id", "a.*")
+    """One row for each id (of a query, if there is one), that with the largest ``pos``."""
+    own = [c for c in ("query", "id") if c in rows.columns]
+    values = [c for c in rows.columns if c not in (*own, "pos")]
+    return rows.groupBy(*own).agg(F.max_by(F.struct(*values), "pos").alias("a")).select(*own, "a.*")
 
 
 def attach_attributes(offers: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -65,15 +129,18 @@ def attach_attributes(offers: DataFrame, attributes: DataFrame) -> DataFrame:
     that a response cannot have stay.
     """
     own = F.col("attributes")
-    found = last_wins(attributes).select(F.col("id").alias("__id"), F.struct("brand", "kind", "organic", "packGrams", "packMl", "count", "variant").alias("__a"))
+    by_query = "query" in attributes.columns and "query" in offers.columns
+    found = last_wins(attributes if by_query else attributes.drop("query"))
+    found = found.select(F.col("id").alias("__id"), *[F.col("query").alias("__query")] * by_query, F.struct("brand", "kind", "organic", "packGrams", "packMl", "count", "variant").alias("__a"))
     a = F.col("__a")
     plain = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
     size = F.coalesce(a["packGrams"], a["packMl"])
     unit = F.when(a["packGrams"].isNotNull(), "g").otherwise("ml")
     pack = F.when(size.isNotNull(), F.struct(size.alias("value"), unit.alias("unit"), F.concat(plain(size), unit).alias("original"))).cast(PACK)
     merged = F.struct(some(a["brand"]).alias("brand"), some(a["kind"]).alias("kind"), a["organic"].alias("organic"), pack.alias("pack"), a["count"].alias("count"), some(a["variant"]).alias("variant"), own["diaper_size"].alias("diaper_size")).cast(ATTRIBUTES)
-    joined = offers.join(found, F.col("id") == F.col("__id"), "left")
-    return joined.withColumn("attributes", F.when(a.isNotNull(), merged).otherwise(own)).drop("__id", "__a")
+    same = F.col("id") == F.col("__id")
+    joined = offers.join(found, same & (F.col("query") == F.col("__query")) if by_query else same, "left")
+    return joined.withColumn("attributes", F.when(a.isNotNull(), merged).otherwise(own)).drop("__id", "__query", "__a")
 
 
 def with_per_unit(offers: DataFrame) -> DataFrame:

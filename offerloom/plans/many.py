@@ -26,37 +26,46 @@ class SearchResults:
     outcome: DataFrame | None = None
 
 
-def search_each(offers: DataFrame, asked: DataFrame, min_score: int = relevance.MIN_SCORE) -> SearchResults:
+def search_each(offers: DataFrame, asked: DataFrame, min_score: int = relevance.MIN_SCORE, failed: DataFrame | None = None) -> SearchResults:
     """Score, filter, group and compare the offers of each query.
 
     Takes offers with a column ``query`` and a table (query, asked) with one row
     for each query and the text that was asked for; offers of no such query go,
     and so do those of a blank text. All keys, ranks and anti-joins are within a
     query, so an offer may be grouped for one query and stand alone for another.
+    Of the queries in ``failed`` (query, error), whose attributes are missing,
+    nothing is grouped and there is no deal.
     """
     pairs = offers.join(asked.select("query", "asked"), "query")
     scored = relevance.score_each(enrich.with_per_unit(pairs)).drop("asked")
     found = written(relevance.reaching(scored, min_score), "found")
-    made = written(grouping.numbered_each(grouping.groups(found, by=BY), BY), "groups")
+    known = found if failed is None else found.join(failed.select("query"), "query", "left_anti")
+    made = written(grouping.numbered_each(grouping.groups(known, by=BY), BY), "groups")
     in_groups = grouping.members(found, made, by=BY)
     loose = grouping.ungrouped(found, in_groups, BY)
     deals = standout.standout_each(loose, made, BY)
     return SearchResults(found, made, in_groups, loose.join(deals.select(*BY, "id"), [*BY, "id"], "left_anti"), deals)
 
 
-def search_payloads(stored: DataFrame, asked: DataFrame, attributes: DataFrame | None = None, min_score: int = relevance.MIN_SCORE) -> SearchResults:
+def search_payloads(stored: DataFrame, asked: DataFrame, attributes: DataFrame | None = None, models: list[enrich.Model] | None = None, min_score: int = relevance.MIN_SCORE) -> SearchResults:
     """``search_each`` over what all sources answered.
 
     ``stored`` are payloads (source, query, status, body, page if a query has
     several of a source). ``outcome`` tells of each query and source the number
     of offers and why it failed. ``attributes``, a provider's table, is attached
-    by id before scoring.
+    by id (and query, if it has one) before scoring; with ``models`` it is made
+    of their answers, and queries without a valid one degrade.
     """
     status = payloads.fetch_status(stored).select("query", "source", "success", "error")
     offers = written(payloads.read_offers(stored).drop("source_rank"), "offers")
     outcome = accounting.outcome_each(status, offers)
+    failed = None
+    if models is not None:
+        # asked once, whatever reads the answers
+        answers = written(enrich.responses(offers, models), "answers")
+        attributes, failed = enrich.parse_response(answers), enrich.failures(answers)
     if attributes is not None:
         offers = enrich.attach_attributes(offers, attributes)
-    out = search_each(offers, asked, min_score)
+    out = search_each(offers, asked, min_score, failed)
     out.outcome = outcome
     return out
