@@ -10,6 +10,7 @@ are short and repeat, so each distinct one of a worker's texts is encoded once.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -71,6 +72,17 @@ BLANK = np.zeros((256, 256), bool)
 BLANK[[0xE1, 0xE2, 0xE2, 0xE3], [0x9A, 0x80, 0x81, 0x80]] = True
 
 
+def check_cuttable(file: dict) -> None:
+    """An error unless cutting texts first gives the ids of the whole: the pairs
+    that may be cut are known for plain byte-level BPE with its own pattern."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    bare = all(not model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    loose = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file.get("added_tokens", []))
+    if file.get("normalizer") or not plain or model.get("type") != "BPE" or not bare or loose:
+        raise ValueError("texts can be cut for byte-level BPE with its own pattern only, without normalizer, prefix space or added tokens that take in what is beside them")
+
+
 class FragmentEncoder:
     """Encodes batches of texts through fragments; one for each worker and file.
 
@@ -86,6 +98,7 @@ class FragmentEncoder:
         # a task has one core, and each further thread keeps memory of its own
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        check_cuttable(json.loads(self.tokenizer.to_str()))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         letters = byte_alphabet()

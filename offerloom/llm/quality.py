@@ -109,7 +109,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     base rules with fewer than 20 words or more than 30 per cent of them in
     repeated windows of eight; others are rejected if a rule exceeds the cutoff
     of their stratum, the language. Languages with under a thousandth of the
-    labels share a stratum, as do null and unseen ones. Where labels certify no
+    labels, and unseen ones, share a stratum; null counts as a language of its
+    own, the empty one. Where labels certify no
     cutoff, because they are too few or absent, nothing is rejected by it. A
     null or empty text has no words and fails. A document with several labels
     is good if all say so; labels of unknown documents and null labels are

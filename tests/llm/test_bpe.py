@@ -131,3 +131,19 @@ def test_what_is_remembered_is_bounded(monkeypatch):
         numbers = memoryview(ids).cast("I").tolist()
         assert [numbers[s // 4 : e // 4] for s, e in zip(ends, ends[1:])] == [whole(t)[0] for t in texts]
         assert sum(x.nbytes for x in (encoder.keys, *encoder.values)) <= 8000
+
+
+def test_files_that_cannot_be_cut(tmp_path):
+    """Another way of splitting would give other ids: an error, not those."""
+    import json
+
+    file = json.loads(open(PATH).read())
+    bpe.check_cuttable(file)
+    split = file["pre_tokenizer"]
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"pre_tokenizer": split | {"add_prefix_space": True}}, {"pre_tokenizer": split | {"use_regex": False}}, {"model": file["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError):
+            bpe.check_cuttable(file | change)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file | {"normalizer": {"type": "Lowercase"}}))
+    with pytest.raises(ValueError):
+        bpe.FragmentEncoder(str(other))
