@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import payload_queries
 from .functions import prices, text
-from .operators import accounting, cache, enrich, grouping, legacy, relevance, report, standout
+from .operators import accounting, cache, enrich, grouping, legacy, lru, relevance, report, standout
 from .plans.search import search
 from .schema import SOURCES
 from .sources import payloads
@@ -18,6 +18,7 @@ from .sources.offers import offers, table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY = "red widget"
 TTL_MS = 60 * 60 * 1000
+LRU_MOST, LRU_TTL_MS = 100, 24 * TTL_MS
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -289,6 +290,22 @@ def cache_hits_ttl(spark: SparkSession, d: str) -> DataFrame:
     return cache.cache_hits(asked, TTL_MS)
 
 
+@query(
+    f"""WITH RECURSIVE q AS (SELECT concat('u', user_id) AS key, epoch_us(ts) // 1000 AS at_ms, event_id AS seq, row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+p AS (SELECT *, lag(i) OVER (PARTITION BY key ORDER BY i) AS prev, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM q),
+g AS (SELECT a.key, a.at_ms, a.seq, a.k, bool_or(a.prev IS NULL) OR count(DISTINCT b.key) >= {LRU_MOST} AS gone FROM p a LEFT JOIN p b ON b.i > a.prev AND b.i < a.i GROUP BY ALL),
+t AS (SELECT key, at_ms, seq, k, false AS hit, at_ms AS stored FROM g WHERE k = 1
+UNION ALL SELECT g.key, g.at_ms, g.seq, g.k, NOT g.gone AND g.at_ms - stored <= {LRU_TTL_MS}, CASE WHEN NOT g.gone AND g.at_ms - stored <= {LRU_TTL_MS} THEN stored ELSE g.at_ms END FROM t JOIN g ON g.key = t.key AND g.k = t.k + 1)
+SELECT key, at_ms, seq, hit FROM t"""
+)
+def cache_hits_lru(spark: SparkSession, d: str) -> DataFrame:
+    """Few entries and a long time, so that keys go both ways."""
+    key = F.lower(F.concat(F.lit("U"), F.col("user_id").cast("string")))
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    asked = table(spark, d, "events").select(key.alias("key"), at.alias("at_ms"), F.col("event_id").alias("seq"))
+    return lru.lru_hits(asked, LRU_MOST, LRU_TTL_MS)
+
+
 @query(
     _OFFERS
     + r""", w AS (SELECT source, name, string_split(trim(regexp_replace(lower(name), '[^a-z0-9+]+', ' ', 'g')), ' ') AS tokens, trim(regexp_replace(lower(brand), '[^a-z0-9+]+', ' ', 'g')) AS brand FROM o),
