@@ -7,14 +7,17 @@ readers must find, straight from the same table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import accounting
 from .plans import many
 from .schema import SOURCES
-from .sources import payloads
+from .sources import payloads, stored
 from .sources.offers import table
+from .tables import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -199,6 +202,19 @@ def payload_fan_out(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("query", "source").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("least"), F.max("price").alias("most"))
 
 
+def _kept(spark: SparkSession, d: str) -> str:
+    """The payloads as stored files, in a folder of their own."""
+    path = f"{shared_dir(spark)}/payloads-{uuid.uuid4().hex}"
+    stored.write_payloads(_all_payloads(spark, d), path)
+    return path
+
+
+def payload_stored(spark: SparkSession, d: str) -> DataFrame:
+    """payload_fan_out through files: written by source, read back by each reader."""
+    found = stored.stored_offers(spark, _kept(spark, d))
+    return found.groupBy("query", "source").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("least"), F.max("price").alias("most"))
+
+
 def payload_errors(spark: SparkSession, d: str) -> DataFrame:
     told = payloads.fetch_status(_all_payloads(spark, d))
     return told.select("query", "source", "success", "error")
@@ -276,9 +292,10 @@ _OUTCOME = f"""WITH {_PARTS}, {_FOUND}, c AS (SELECT query, source, count(*) AS
 s AS (SELECT DISTINCT query, source FROM p, (SELECT unnest([{", ".join(f"'{x}'" for x in SOURCES)}]) AS source))
 SELECT s.query, s.source, coalesce(n, 0) AS n, CASE WHEN {_FAILED.replace("source", "s.source").replace("query", "s.query")} THEN CASE s.source WHEN 'dm' THEN 'HTTP 503' ELSE 'challenge page' END END AS error FROM s LEFT JOIN c ON s.query = c.query AND s.source = c.source"""
 _ADDRESSES = ", ".join(f"concat('{b}', a, '{e}') AS {s}" for s, u in payloads.SEARCH.items() for b, e in [u.split("{q}")])
-QUERIES |= {f.__name__: f for f in (payload_fan_out, payload_errors, payload_status, search_addresses, counts_of_payloads, payload_search, payload_found, payload_outcome)}
+QUERIES |= {f.__name__: f for f in (payload_fan_out, payload_stored, payload_errors, payload_status, search_addresses, counts_of_payloads, payload_search, payload_found, payload_outcome)}
 SQL |= {
     "payload_fan_out": f"WITH {_PARTS}, {_FOUND} SELECT query, source, count(*) AS n, min(price) AS least, max(price) AS most FROM r WHERE place <= {payloads.MOST} GROUP BY ALL",
+    "payload_stored": f"WITH {_PARTS}, {_FOUND} SELECT query, source, count(*) AS n, min(price) AS least, max(price) AS most FROM r WHERE place <= {payloads.MOST} GROUP BY ALL",
     "payload_errors": f"WITH {_PARTS}, s AS (SELECT DISTINCT query, source FROM p, (SELECT unnest({_CODES}) AS source)) SELECT query, source, NOT {_FAILED} AS success, CASE WHEN {_FAILED} THEN CASE source WHEN 'dm' THEN 'HTTP 503' ELSE 'challenge page' END END AS error FROM s",
     "payload_status": _STATUS,
     "search_addresses": f"SELECT p_partkey, {_ADDRESSES} FROM (SELECT p_partkey, url_encode(concat(p_name, ' & ', p_brand)) AS a FROM part)",
