@@ -2,60 +2,109 @@
 
 Items are short, documents long, so the measure is containment: the share of an
 item's word shingles that the document has. Items fall into partitions by the
-size of their shingle set (powers of two). The MinHash sketch of an item is the
-``m`` smallest hashes of its set, with ``m`` and the number of them that a
-document must have set by the partition, so that a document at the threshold
-is missed with probability under MISS. A partition of small sets takes them
-whole. Candidates are then confirmed on the words themselves.
+size of their shingle set (powers of two), and the partition sets how an item
+is searched: ``rule`` gives the length of its MinHash sketch, the smallest
+hashes of the set, and how many of them a document must have. A document at the
+threshold is missed with probability under MISS, and one at half of it is
+looked at in vain the more rarely the larger the items, so that no partition
+spends more on false candidates. Where a sketch would be no shorter than the
+sets of its partition they are taken whole, and the search is exact. Candidates
+are then confirmed on the words themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, keep_ids, materialize, ship_package, text_buffer, text_pieces
 from .shingles import shingle_hashes, word_hashes
 
-SKETCH = 24
+#: A document at the threshold is missed with less than this probability.
 MISS = 1e-9
+#: Expected shingles compared in vain for a document at half the threshold.
+VAIN = 0.1
+#: Thresholds that would need a longer sketch have sets taken whole.
+LONGEST = 512
+#: Parts into which the rows of one hash or shingle are dealt where nothing is broadcast.
+PARTS = 16
 
 
-def needed(size: int, threshold: float) -> int:
-    """How many of a sketch's hashes a document at the threshold surely has.
+def _tail(m: int, share: float, least: int) -> float:
+    """Probability that ``least`` or more of ``m`` are found, each with ``share``."""
+    return sum(comb(m, k) * share**k * (1 - share) ** (m - k) for k in range(least, m + 1))
 
-    For a set of ``size``, all hashes up to SKETCH are in the sketch; beyond,
-    the number found is binomial at worst, and the tail under MISS is given up.
+
+@cache
+def rule(partition: int, threshold: float) -> tuple[int, int] | None:
+    """(hashes of a sketch, how many of them must be found) for sets of
+    2**partition and more shingles, or None where such sets are taken whole.
+
+    How many of a sketch a document has is binomial at worst: the sketch is
+    drawn from the set without replacement.
     """
-    if size <= SKETCH:
-        return max(1, ceil(threshold * size - 1e-9))
-    total, k = 0.0, 0
-    while (total := total + comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)) < MISS:
-        k += 1
-    return max(1, k)
+    for m in range(16, min(2**partition, LONGEST), 8):
+        missed, least = (1 - threshold) ** m, 0
+        while missed < MISS:
+            least += 1
+            missed += comb(m, least) * threshold**least * (1 - threshold) ** (m - least)
+        if least and _tail(m, threshold / 2, least) * 2 ** (partition + 1) <= VAIN:
+            return m, least
+    return None
 
 
-def _sketches(k: int):
-    schema = pa.schema([("item_id", pa.int64()), ("size", pa.int64()), ("words", pa.int32()), ("hash", pa.int64())])
+def _hashes(k: int):
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.int32()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_pieces(batches, "text"):
             hashes, firsts = word_hashes(*text_buffer(piece.column("text")))
             found, text = shingle_hashes(hashes, firsts, k)
-            ends, out = np.searchsorted(text, np.arange(len(firsts))), []
-            for item, n, s, e in zip(piece.column("item_id").to_pylist(), np.diff(firsts), ends, ends[1:]):
-                u = np.unique(found[s:e])
-                out += [(item, len(u), min(int(n), k), h) for h in u[:SKETCH].view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
+            ids = piece.column("item_id").to_numpy(zero_copy_only=False)
+            words = np.minimum(np.diff(firsts), k).astype(np.int32)
+            columns = [pa.array(ids[text], pa.int64()), pa.array(words[text]), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def _sketches(shingles: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, hash, size, partition, needed) of the hashes to be searched.
+
+    The sketch is that of all shingles of an id, whichever of its rows has them.
+    """
+    sizes = shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.withColumn("partition", F.floor(F.log2("size")).cast("int"))
+    sizes = materialize(sizes, "sizes")
+    rules = {r["partition"]: rule(r["partition"], threshold) for r in sizes.select("partition").distinct().collect()}
+    whole = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int"))
+    length, needed = F.col("size").cast("int"), whole
+    for p, r in rules.items():
+        if r:
+            length = F.when(F.col("partition") == p, r[0]).otherwise(length)
+            needed = F.when(F.col("partition") == p, r[1]).otherwise(needed)
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("hash"))
+    ruled = sizes.select("item_id", "size", "partition", length.alias("length"), needed.alias("needed"))
+    taken = shingles.select("item_id", "hash").join(ruled, "item_id").withColumn("place", place).filter(F.col("place") <= F.col("length"))
+    return taken.select("item_id", "hash", "size", "partition", "needed")
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, small: bool) -> DataFrame:
+    """``left`` (doc_id, key) and ``right`` (key, ...) joined. Where ``right`` is
+    too large for a broadcast, rows of a hot key are dealt to PARTS tasks by document."""
+    if small:
+        return left.join(F.broadcast(right), key)
+    dealt = left.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    each = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(each, [key, "__part"]).drop("__part")
+
+
 def _probe(ks: list[int], wanted):
     """Distinct shingle hashes of each text; only those in ``wanted``, if given."""
     schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64())])
@@ -109,23 +158,23 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    sketches = materialize(items.mapInArrow(_sketches(k), "item_id bigint, size bigint, words int, hash bigint").distinct(), "sketches")
-    partition = F.floor(F.log2("size")).cast("int")
-    sizes = [(r["size"], needed(r["size"], threshold)) for r in sketches.select(F.least("size", F.lit(SKETCH + 1)).alias("size")).distinct().collect()]
-    ks = sorted(r["words"] for r in sketches.select("words").distinct().collect())
+    shingles = items.mapInArrow(_hashes(k), "item_id bigint, words int, hash bigint").distinct()
+    shingles = materialize(shingles, "shingles")
+    ks = sorted(r["words"] for r in shingles.select("words").distinct().collect())
     schema = "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double"
     if not ks:
         return spark.createDataFrame([], schema)
+    sketches = materialize(_sketches(shingles, threshold), "sketches")
     hashes = sketches.select("hash").distinct()
     small = hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = None
     if small:
         wanted = spark.sparkContext.broadcast(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
     found = docs.mapInArrow(_probe(ks, wanted), "doc_id bigint, hash bigint")
-    hits = found.join(F.broadcast(sketches) if small else sketches, "hash")
-    counts = hits.groupBy("doc_id", "item_id", partition.alias("partition"), F.least("size", F.lit(SKETCH + 1)).alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    least = F.create_map(*[F.lit(x) for pair in sizes for x in pair])
-    candidates = materialize(counts.filter(F.col("n") >= F.element_at(least, F.col("size"))).select("doc_id", "item_id").distinct(), "candidates")
+    hits = _met(found, sketches.select("hash", "item_id", "partition", "needed"), "hash", small)
+    # repeated rows of a document count a hash again, which only adds candidates
+    counts = hits.groupBy("doc_id", "item_id", "partition", "needed").agg(F.count(F.lit(1)).alias("n"))
+    candidates = materialize(counts.filter(F.col("n") >= F.col("needed")).select("doc_id", "item_id"), "candidates")
 
     item_words = items.join(candidates.select("item_id").distinct(), "item_id", "left_semi").select("item_id", word_array(F.col("text")).alias("words"))
     item_words = item_words.withColumn("k", F.least(F.size("words"), F.lit(k)))
@@ -135,7 +184,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     words = keep_ids(docs, candidates, "doc_id").select("doc_id", word_array(F.col("text")).alias("words"))
     own = words.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(_shingle_strings(F.col("words"), F.lit(j)), F.array().cast("array<string>")) for j in ks])))).alias("shingle"))
     few = truth.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    shared = own.join(F.broadcast(truth) if few else truth, "shingle").groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_shared"))
+    shared = _met(own, truth, "shingle", few).groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_shared"))
     out = shared.join(candidates, ["doc_id", "item_id"]).join(F.broadcast(totals) if few else totals, "item_id")
     out = out.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= threshold)
     return out.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
