@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds more than this share of all rows, so at
@@ -101,23 +101,30 @@ def join_one_row_per_key(left: DataFrame, right: DataFrame, keys: list[str], row
     Keys with more than ``hot_above`` rows come from a broadcast (at most
     total / hot_above of them exist) and their left rows are dealt out by
     ``salt`` instead of by key, so that no task gets all rows of one key.
-    The first key must be a bigint.
+    A first key that is no bigint is dealt by its hash.
     """
-    first = keys[0]
+    plain = dict(left.dtypes)[keys[0]] == "bigint"
+    first, rest = F.col(keys[0]) if plain else F.xxhash64(keys[0]), keys[1:] if plain else keys
     values = [c for c in right.columns if c not in keys]
     packed = right.select(*keys, F.struct(*values).alias("__value"), F.col(rows).alias("__rows"))
     hot = packed.filter(F.col("__rows") > hot_above).select(*[F.col(k).alias(f"__hot_{k}") for k in keys], F.col("__value").alias("__hot"))
-    cold = packed.filter(F.col("__rows") <= hot_above).select(F.col(first).alias("__deal"), *[F.col(k).alias(f"__cold_{k}") for k in keys[1:]], F.col("__value").alias("__cold"))
+    cold = packed.filter(F.col("__rows") <= hot_above).select(first.alias("__deal"), *[F.col(k).alias(f"__cold_{k}") for k in rest], F.col("__value").alias("__cold"))
     same_hot = [F.col(k) == F.col(f"__hot_{k}") for k in keys]
     dealt = left.join(F.broadcast(hot), same_hot, "left").drop(*[f"__hot_{k}" for k in keys])
-    dealt = dealt.withColumn("__deal", F.when(F.col("__hot").isNotNull(), F.xxhash64(F.lit("hot"), F.col(salt))).otherwise(F.col(first))).alias("l")
-    same = [F.col("l.__deal") == F.col("r.__deal")] + [F.col(k) == F.col(f"__cold_{k}") for k in keys[1:]]
+    dealt = dealt.withColumn("__deal", F.when(F.col("__hot").isNotNull(), F.xxhash64(F.lit("hot"), F.col(salt))).otherwise(first)).alias("l")
+    same = [F.col("l.__deal") == F.col("r.__deal")] + [F.col(k) == F.col(f"__cold_{k}") for k in rest]
     joined = dealt.join(cold.alias("r"), same, "left").withColumn("__value", F.coalesce("__hot", "__cold"))
     if how == "inner":
         joined = joined.filter(F.col("__value").isNotNull())
     return joined.select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"__value.{v}").alias(v) for v in values])
 
 
+def row_id(doc_id: Column, text: Column) -> Column:
+    """128 bits for a row's id and text, as two hashes that read them in either
+    order: at 1e10 rows 64 bits would have some rows in common."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("b"), text, doc_id).alias("b"))
+
+
 def _some_ids(ids: DataFrame, key: str) -> DataFrame:
     """Distinct ids, marked for a broadcast if few, else for a shuffle."""
     ids = ids.select(F.col(key)).filter(F.col(key).isNotNull()).distinct()

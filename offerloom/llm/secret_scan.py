@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, hot_limit, join_one_row_per_key, keep_ids, materialize
+from .common import drop_ids, hot_limit, join_one_row_per_key, keep_ids, materialize, row_id
 
 #: The strong kinds, in order; group and least length that count.
 STRONG = {
@@ -144,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
     and text get the same result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = _found(docs.withColumn("rid", F.xxhash64("doc_id", "text"))).drop("text")
+    found = _found(docs.withColumn("rid", row_id(F.col("doc_id"), F.col("text")))).drop("text")
     # ``place`` tells equal rows apart where they must be dealt out
     found = found.select("doc_id", "rid", F.monotonically_increasing_id().alias("place"), *STRONG, _labelled(list(STRONG)).alias("strong"), _labelled(list(WEAK)).alias("weak"))
     found = materialize(found, "secrets")
@@ -188,7 +188,7 @@ def redact(docs: DataFrame, marker: str = "[SECRET]") -> DataFrame:
     """
     found = scan(docs).filter(F.size("found") > 0).groupBy(F.col("rid").alias("__rid")).agg(F.first("found").alias("__found"), F.count(F.lit(1)).alias("__rows"))
     found = materialize(found, "redactions")
-    keyed = docs.withColumns({"__rid": F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))), "__place": F.monotonically_increasing_id()})
+    keyed = docs.withColumns({"__rid": row_id(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))), "__place": F.monotonically_increasing_id()})
     hot = hot_limit(found.agg(F.sum("__rows")).first()[0] or 0)
     joined = join_one_row_per_key(keep_ids(keyed, found, "__rid"), found, ["__rid"], "__rows", hot, "__place")
 
