@@ -13,11 +13,11 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import similarity
 from ..functions.text import normalize_text, some, split_words, trim_ws, url_slug
 from ..tables import numbered
 
 MIN_SCORE = 30
-FUZZY_FLOOR = 0.4
 
 
 def normalize_query(query: str) -> str:
@@ -73,10 +73,8 @@ def order_score(haystack: Column, words: list[str] | Column) -> Column:
 
 
 def fuzzy_score(name: Column, query: Column) -> Column:
-    """Edit similarity, none below the floor (stands in for a fuzzy library)."""
-    longest = F.greatest(F.length(name), F.length(query))
-    alike = F.lit(1.0) - F.try_divide(F.levenshtein(name, query).cast("double"), longest)
-    return F.when(alike >= FUZZY_FLOOR, alike * F.lit(15.0)).otherwise(0.0)
+    """Points for where the query is found in the name, errors allowed."""
+    return similarity(name, query) * F.lit(15.0)
 
 
 def _once(df: DataFrame, value: Column, name: str) -> DataFrame:

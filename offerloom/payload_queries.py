@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fuzzy_sql import fuzzy
 from .operators import accounting
 from .plans import many
 from .schema import SOURCES
@@ -284,9 +285,9 @@ t AS (SELECT r.*, q, list_filter(ws, lambda w: length(w) > 2) AS ws, {_NORMAL.fo
   {_NORMAL.format("concat_ws(' ', name, brand, regexp_replace(regexp_extract(product_url, '([^/]+)/*$', 1), '[-_]', ' ', 'g'))")} AS hay FROM r JOIN v USING (query) WHERE place <= {payloads.MOST}),
 u AS (SELECT *, CASE WHEN nm = q THEN 40 WHEN contains(nm, q) THEN 30 WHEN contains(q, nm) THEN 25 ELSE 0 END AS by_name,
   len(list_filter(ws, lambda w: list_contains(string_split(hay, ' '), w))) / CAST(len(ws) AS DOUBLE) * CAST(30.0 AS DOUBLE) AS coverage,
-  instr(hay, ws[1]) AS a1, CASE WHEN len(ws) > 1 THEN instr(substr(hay, instr(hay, ws[1]) + 1), ws[2]) ELSE 0 END AS a2,
-  CAST(1.0 AS DOUBLE) - CAST(levenshtein(nm, q) AS DOUBLE) / greatest(length(nm), length(q)) AS alike FROM t),
-w AS (SELECT *, CAST(least(100, floor(by_name + coverage + (CAST(a1 > 0 AS INT) + CAST(a2 > 0 AS INT)) / CAST(len(ws) AS DOUBLE) * CAST(15.0 AS DOUBLE) + CASE WHEN alike >= 0.4 THEN alike * CAST(15.0 AS DOUBLE) ELSE 0 END + 0.5)) AS INT) AS score FROM u),
+  instr(hay, ws[1]) AS a1, CASE WHEN len(ws) > 1 THEN instr(substr(hay, instr(hay, ws[1]) + 1), ws[2]) ELSE 0 END AS a2 FROM t),
+z AS ({fuzzy("SELECT nm, q FROM t")}),
+w AS (SELECT *, CAST(least(100, floor(by_name + coverage + (CAST(a1 > 0 AS INT) + CAST(a2 > 0 AS INT)) / CAST(len(ws) AS DOUBLE) * CAST(15.0 AS DOUBLE) + fuzzy + 0.5)) AS INT) AS score FROM u JOIN z ON u.nm = z.nm AND u.q = z.q),
 x AS (SELECT * FROM w WHERE score >= 30)"""
 _OUTCOME = f"""WITH {_PARTS}, {_FOUND}, c AS (SELECT query, source, count(*) AS n FROM r WHERE place <= {payloads.MOST} GROUP BY ALL),
 s AS (SELECT DISTINCT query, source FROM p, (SELECT unnest([{", ".join(f"'{x}'" for x in SOURCES)}]) AS source))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import payload_queries
 from .functions import prices, text
+from .fuzzy_sql import fuzzy
 from .operators import accounting, cache, enrich, grouping, legacy, lru, relevance, report, standout
 from .plans.search import search
 from .schema import SOURCES
@@ -41,9 +42,9 @@ _SCORES = f""",
 h AS (SELECT *, concat_ws(' ', name, b, name, b, kind) AS hay FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(brand), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS b FROM o)),
 p AS (SELECT *, CASE WHEN name = '{QUERY}' THEN 40 WHEN contains(name, '{QUERY}') THEN 30 WHEN contains('{QUERY}', name) THEN 25 ELSE 0 END AS name_score,
   (CAST(list_contains(string_split(hay, ' '), 'red') AS INT) + CAST(list_contains(string_split(hay, ' '), 'widget') AS INT)) / CAST(2.0 AS DOUBLE) * CAST(30.0 AS DOUBLE) AS coverage,
-  (CAST(instr(hay, 'red') > 0 AS INT) + CAST(instr(substr(hay, instr(hay, 'red') + 1), 'widget') > 0 AS INT)) / CAST(2.0 AS DOUBLE) * CAST(15.0 AS DOUBLE) AS ordered,
-  CAST(1.0 AS DOUBLE) - CAST(levenshtein(name, '{QUERY}') AS DOUBLE) / greatest(length(name), {len(QUERY)}) AS alike FROM h),
-s AS (SELECT *, CASE WHEN alike >= 0.4 THEN alike * CAST(15.0 AS DOUBLE) ELSE 0 END AS fuzzy FROM p),
+  (CAST(instr(hay, 'red') > 0 AS INT) + CAST(instr(substr(hay, instr(hay, 'red') + 1), 'widget') > 0 AS INT)) / CAST(2.0 AS DOUBLE) * CAST(15.0 AS DOUBLE) AS ordered FROM h),
+z AS ({fuzzy(f"SELECT name AS nm, '{QUERY}' AS q FROM h")}),
+s AS (SELECT p.*, fuzzy FROM p JOIN z ON p.name = z.nm),
 r AS (SELECT *, CAST(least(100, floor(name_score + coverage + ordered + fuzzy + 0.5)) AS INT) AS score FROM s),
 f AS (SELECT *, row_number() OVER (ORDER BY score DESC, so, pa, su) AS rel FROM r WHERE score >= 30)"""
 _FOUND_GROUPS = """,
