@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import accounting, enrich, grouping, relevance, standout
+from ..operators import accounting, enrich, grouping, offer_index, relevance, standout
 from ..sources import payloads
 from ..tables import written
 
@@ -47,6 +47,14 @@ def search_each(offers: DataFrame, asked: DataFrame, min_score: int = relevance.
     return SearchResults(found, made, in_groups, loose.join(deals.select(*BY, "id"), [*BY, "id"], "left_anti"), deals)
 
 
+def search_table(offers: DataFrame | offer_index.OfferIndex, asked: DataFrame, min_score: int = relevance.MIN_SCORE) -> SearchResults:
+    """``search_each`` of offers that belong to no query: each of ``asked`` meets
+    those that can reach the score, by an index of the offers (or one that was
+    built before), and not all of them."""
+    index = offers if isinstance(offers, offer_index.OfferIndex) else offer_index.build(offers)
+    return search_each(offer_index.candidates(index, asked, min_score), asked, min_score)
+
+
 def search_payloads(stored: DataFrame, asked: DataFrame, attributes: DataFrame | None = None, models: list[enrich.Model] | None = None, min_score: int = relevance.MIN_SCORE) -> SearchResults:
     """``search_each`` over what all sources answered.
 

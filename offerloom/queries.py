@@ -11,6 +11,7 @@ from . import payload_queries
 from .functions import prices, text
 from .fuzzy_sql import fuzzy
 from .operators import accounting, cache, enrich, grouping, legacy, lru, relevance, report, standout
+from .plans.many import search_table
 from .plans.search import search
 from .schema import SOURCES
 from .sources import payloads
@@ -195,6 +196,25 @@ def relevance_filter_rank(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "relevance_score", F.col("rel_rank").cast("bigint").alias("rel_rank"))
 
 
+_TABLE = f""",
+h AS (SELECT *, concat_ws(' ', name, b, name, b, kind) AS hay FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(brand), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g')) AS b FROM o)),
+k AS (SELECT p_name AS query, concat(p_name, ' ', trim(regexp_replace(regexp_replace(lower(min(p_brand)), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g'))) AS q FROM part GROUP BY p_name),
+z AS ({fuzzy("SELECT name AS nm, q FROM (SELECT DISTINCT name FROM h), k")}),
+t AS (SELECT query, id, name, q, hay, list_distinct(list_filter(string_split(q, ' '), lambda w: length(w) > 2)) AS ws FROM h, k),
+a AS (SELECT *, instr(hay, w1) AS a1 FROM (SELECT *, string_split(q, ' ')[1] AS w1, string_split(q, ' ')[2] AS w2, string_split(q, ' ')[3] AS w3 FROM t)),
+b AS (SELECT *, a1 + CASE WHEN instr(substr(hay, a1 + 1), w2) > 0 THEN instr(substr(hay, a1 + 1), w2) ELSE 0 END AS a2 FROM a),
+s AS (SELECT b.*, CASE WHEN name = b.q THEN 40 WHEN contains(name, b.q) THEN 30 WHEN contains(b.q, name) THEN 25 ELSE 0 END + len(list_filter(ws, lambda w: list_contains(string_split(hay, ' '), w))) / CAST(3 AS DOUBLE) * CAST(30 AS DOUBLE)
+  + (CAST(a1 > 0 AS INT) + CAST(a2 > a1 AS INT) + CAST(instr(substr(hay, a2 + 1), w3) > 0 AS INT)) / CAST(3 AS DOUBLE) * CAST(15 AS DOUBLE) + fuzzy AS points FROM b JOIN z ON b.name = z.nm AND b.q = z.q)
+SELECT query, id, CAST(least(100, floor(points + 0.5)) AS INT) AS relevance_score FROM s WHERE floor(points + 0.5) >= 30"""
+
+
+@query(_OFFERS + _TABLE)
+def table_search(spark: SparkSession, d: str) -> DataFrame:
+    """Of each of many queries, a name of parts with a brand, the offers that reach the score."""
+    asked = table(spark, d, "part").groupBy(F.col("p_name").alias("query")).agg(F.concat_ws(" ", F.col("p_name"), F.min("p_brand")).alias("asked"))
+    return search_table(offers(spark, d), asked).found.select("query", "id", "relevance_score")
+
+
 _RANKED = "row_number() OVER (ORDER BY score DESC, first) AS group_rank, concat('group-', row_number() OVER (ORDER BY first) - 1) AS group_id"
 
 
