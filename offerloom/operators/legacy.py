@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_accents
+from ..functions.text import ascii_letters
 
 #: Fixed values.
 SIZE_WORDS = ["nr", "no", "numar", "marime", "marimea", "size", "stage", "etapa"]
@@ -13,7 +13,7 @@ STOPWORDS = ["scutece", "diapers", "pampers", "buc", "bucati", "pack", "pachet",
 
 
 def plain_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(strip_accents(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9+]+", " "))
+    return F.trim(F.regexp_replace(ascii_letters(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9+]+", " "))
 
 
 def size_stage(tokens: Column) -> Column:
