@@ -1,10 +1,18 @@
 """What larger tables need: nothing that grows with them in one row, task or worker."""
 
+import json
 import unicodedata
 
 from pyspark.sql import functions as F
 
+from offerloom import tables
 from offerloom.functions import text
+from offerloom.operators import offer_index, relevance
+from offerloom.plans import many
+from offerloom.plans.search import search
+from offerloom.schema import SOURCES
+
+from .test_engine import frame, offer
 
 
 def _plan(df):
@@ -24,3 +32,37 @@ def test_every_character_normalises_as_by_decomposition(spark):
     both = df.select("c", text.normalize_text(F.col("t")).alias("n"), old.alias("o"))
     assert both.filter("n <> o").collect() == []
     assert unicodedata.normalize("NFD", "ș") != "ș" and new.filter("n = 'asb spfs5 s'").count() > 0
+
+
+def test_a_text_is_scored_once(spark, monkeypatch):
+    """Offers that share their texts take its score, broadcast or not; null and
+    empty are one text."""
+    rows = [offer("dm", "red widget", 1, brand=b, i=i, ident=f"n{i}") for i, b in enumerate([None, "", "x", None] * 5)]
+    every = frame(spark, rows)
+    assert relevance.distinct_texts(relevance.keyed(every)).count() == 2
+    want = sorted(map(tuple, relevance.score(every, "red widget").select("id", "relevance_score").collect()))
+    assert len(want) == 20
+    monkeypatch.setattr(tables, "SMALL", 0)
+    assert sorted(map(tuple, relevance.score(every, "red widget").select("id", "relevance_score").collect())) == want
+
+
+def test_the_index_is_of_texts(spark):
+    every = frame(spark, [offer("dm", f"red widget {i % 3}", 1, i=i, ident=f"n{i}") for i in range(60)])
+    index = offer_index.build(every)
+    assert index.texts.count() == 3 and index.postings.count() < 20
+    asked = spark.createDataFrame([("q", "red widget 1")], "query string, asked string")
+    assert many.search_table(index, asked).matches.count() == 60
+
+
+def test_the_document_has_a_row_for_each_offer(spark):
+    rows = [offer(s, f"red widget {i}", 5 + i, kind=f"k{i % 3}", pack=(100 + 100 * (i > 17), "g"), i=i, ident=f"{s}{i}") for i, s in enumerate(SOURCES * 3)]
+    result = search(frame(spark, rows), "red widget")
+    lines = [r.text for r in result.document().orderBy("line").collect()]
+    told = json.loads("\n".join(lines))
+    assert max(x.count('"product_url"') for x in lines) == 1
+    assert list(told)[:4] == ["query", "groups", "ungrouped", "total"] and told["total"] == len(rows)
+    assert [[p["id"] for p in g["products"]] for g in told["groups"]] == [[m.id for m in result.members.filter(F.col("group_rank") == i + 1).orderBy("member_rank").collect()] for i in range(len(told["groups"]))]
+    assert [p["id"] for p in told["ungrouped"]] == [r.id for r in result.ungrouped.orderBy("rel").collect()]
+    assert sum(told["count_by_source"].values()) == len(rows)
+    none = search(frame(spark, rows), "qqqq zzzz")
+    assert json.loads("\n".join(r.text for r in none.document().orderBy("line").collect()))["groups"] == []
