@@ -36,7 +36,7 @@ def report_lines(result: SearchResult, note: str | None = None, user_agent: str
     """(section, place, text) of the report, ordered by section and place.
 
     Sections: 1 header, 2 note, 3 query, 4 errors, 5 result, 6 attributes, 7 the
-    result as JSON.
+    result as JSON, a line for each offer.
     """
     spark = result.found.sparkSession
     fixed = [(1, ["=== HEADER ===", f"App version: {version}", f"Timestamp:   {at}", f"User agent:  {user_agent}", f"Viewport:    {viewport}"]), (2, ["=== USER NOTE ===", (note or "").strip() or "(none provided)"]), (3, ["=== QUERY ===", f"Query: {result.query}"]), (5, ["=== FINAL RESULT SHOWN TO USER ==="]), (6, ["=== LLM ENRICHMENT (per enriched product) ===", "name | brand | kind | organic | packGrams | packMl | count | variant"]), (7, ["=== FULL JSON DUMP ==="])]
@@ -65,7 +65,7 @@ def report_lines(result: SearchResult, note: str | None = None, user_agent: str
     row = F.concat_ws(" | ", truncate(F.col("name"), 50), F.coalesce(a["brand"], F.lit("")), F.coalesce(a["kind"], F.lit("")), F.when(a["organic"], "yes").otherwise(""), in_unit("g"), in_unit("ml"), F.coalesce(_number(a["count"]), F.lit("")), F.coalesce(a["variant"], F.lit("")))
     parts.append(_lines(result.members, 6, place("1", F.col("group_rank"), F.col("member_rank")), row))
     parts.append(_lines(result.ungrouped, 6, place("2", *by_rel), row))
-    parts.append(_lines(result.document(), 7, F.lit("1"), F.col("document")))
+    parts.append(_lines(result.document(), 7, place("1", F.col("line")), F.col("text")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -74,6 +74,8 @@ def report_lines(result: SearchResult, note: str | None = None, user_agent: str
 
 def report_text(lines: DataFrame, most: int = BODY_MOST) -> DataFrame:
     """One row: the lines joined, cut at what an issue tracker takes."""
+    # a line has its break at least, so later ones are beyond the cut
+    lines = lines.orderBy("section", "place").limit(most + 2)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "place", "text"))), lambda x: x["text"]), "\n")
     return lines.agg(truncate(text, most).alias("text"))
 

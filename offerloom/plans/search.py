@@ -1,10 +1,11 @@
-"""The whole search: what is relevant is written once, the rest is lazy."""
+"""The whole search: what is relevant is written once, the rest is made when it is asked for."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accounting, enrich, grouping, relevance, standout
@@ -13,18 +14,35 @@ from ..tables import numbered, written
 
 @dataclass
 class SearchResult:
-    """Tables that answer a query; ``found`` is what reached the score."""
+    """Tables that answer a query; ``found`` is what reached the score. A total
+    needs no groups, so these are made when they are first asked for."""
 
     query: str
     found: DataFrame
-    groups: DataFrame
-    members: DataFrame
-    ungrouped: DataFrame
-    deal: DataFrame
     counts: DataFrame
     errors: DataFrame | None = None
     enrichment_error: str | None = None
 
+    @cached_property
+    def groups(self) -> DataFrame:
+        return grouping.numbered(grouping.groups(self.found.filter(F.lit(self.enrichment_error is None))))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return grouping.members(self.found, self.groups)
+
+    @cached_property
+    def _loose(self) -> DataFrame:
+        return grouping.ungrouped(self.found, self.members)
+
+    @cached_property
+    def deal(self) -> DataFrame:
+        return written(standout.standout(self._loose if self.enrichment_error is None else self._loose.limit(0), self.groups), "deal")
+
+    @cached_property
+    def ungrouped(self) -> DataFrame:
+        return standout.without(self._loose, self.deal)
+
     def total(self) -> DataFrame:
         return self.found.agg(F.count(F.lit(1)).alias("total"))
 
@@ -52,18 +70,45 @@ class SearchResult:
         return numbered(every, ["__part", "__a", "__b", "__rel"], "line").select("line", "entry", "group_id", *offer)
 
     def document(self) -> DataFrame:
-        """One row, one JSON document; what is empty is left out."""
-        offer = F.struct("id", "name", "price", "currency", "source", "product_url", "attributes", "price_per_unit", "relevance_score")
-        listed = lambda df, order, value, name: df.agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"]).alias(name))
-        member = self.members.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("member_rank", offer.alias("v")))), lambda x: x["v"]).alias("products"))
-        groups = self.groups.join(member, "group_id")
-        group = F.struct("group_id", "matched_name", "best_price", "best_price_source", "best_ppu", "best_ppu_source", "match_confidence", "attributes", "score", "products")
+        """(line, text): one JSON document, a line for each offer; what is empty
+        is left out. Joined in order of line the texts are the document, and no
+        row holds more than one offer."""
+        offer = F.to_json(F.struct("id", "name", "price", "currency", "source", "product_url", "attributes", "price_per_unit", "relevance_score"))
+        group = F.to_json(F.struct("group_id", "matched_name", "best_price", "best_price_source", "best_ppu", "best_ppu_source", "match_confidence", "attributes", "score"))
+        opened = lambda text: F.substr(text, F.lit(1), F.length(text) - 1)
+        comma = lambda first: F.when(first, "").otherwise(",")
+        rel = self.found.schema["rel"].dataType
+        long = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("bigint")
+
+        def part(df: DataFrame, key: tuple, text: Column, at: Column | None = None) -> DataFrame:
+            place = [long(k).alias(f"__{i}") for i, k in enumerate(key)]
+            return df.select(*place, (F.lit(None).cast(rel) if at is None else at).alias("__rel"), text.alias("text"))
+
+        one = self.found.sparkSession.range(1)
+        rank = F.col("group_rank")
+        first = self.ungrouped.agg(F.min("rel").alias("__first"))
+        parts = [
+            part(one, (0, 0, 0), F.concat(opened(F.to_json(F.struct(F.lit(self.query).alias("query")))), F.lit(',"groups":['))),
+            part(self.groups, (1, rank, 0), F.concat(comma(rank == 1), opened(group), F.lit(',"products":['))),
+            part(self.members, (1, rank, F.col("member_rank")), F.concat(comma(F.col("member_rank") == 1), offer)),
+            # no group has more members than it counts
+            part(self.groups, (1, rank, F.col("n") + 1), F.lit("]}")),
+            part(one, (2, 0, 0), F.lit('],"ungrouped":[')),
+            part(self.ungrouped.join(F.broadcast(first)), (3, 0, 0), F.concat(comma(F.col("rel") == F.col("__first")), offer), F.col("rel")),
+            part(self._rest(), (4, 0, 0), F.concat(F.lit("],"), F.substr("document", F.lit(2)))),
+        ]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return numbered(every, ["__0", "__1", "__2", "__rel"], "line").select("line", "text")
+
+    def _rest(self) -> DataFrame:
+        """(document): one row, what a document holds beside its offers."""
         deal = F.struct("id", "name", "price", "source", "savings", "beaten_ppu")
-        out = listed(groups, F.col("group_rank"), group, "groups")
-        out = out.join(listed(self.ungrouped, F.col("rel"), offer, "ungrouped")).join(self.total())
+        out = self.total()
         out = out.join(self.counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("count_by_source")))
         out = out.join(self.deal.agg(F.first(deal).alias("standout")))
-        fields = [F.lit(self.query).alias("query"), "groups", "ungrouped", "total", "count_by_source", "standout", F.lit(self.enrichment_error).alias("enrichment_error")]
+        fields = ["total", "count_by_source", "standout", F.lit(self.enrichment_error).alias("enrichment_error")]
         if self.errors is not None:
             out = out.join(self.errors.agg(F.map_from_entries(F.collect_list(F.struct("source", "error"))).alias("source_errors")))
             fields.append(F.when(F.size("source_errors") > 0, F.col("source_errors")).alias("source_errors"))
@@ -80,10 +125,6 @@ def search(offers: DataFrame, query: str, attributes: DataFrame | None = None, m
     counts = accounting.count_by_source(offers)
     if attributes is not None:
         offers = enrich.attach_attributes(offers, attributes)
-    # read by groups, members and what is in none
+    # read by totals, groups, members and what is in none
     found = written(relevance.relevant(enrich.with_per_unit(offers), query, min_score), "found")
-    made = grouping.numbered(grouping.groups(found.filter(F.lit(enrichment_error is None))))
-    in_groups = grouping.members(found, made)
-    loose = grouping.ungrouped(found, in_groups)
-    deal = standout.standout(loose if enrichment_error is None else loose.limit(0), made)
-    return SearchResult(query, found, made, in_groups, standout.without(loose, deal), deal, counts, errors, enrichment_error)
+    return SearchResult(query, found, counts, errors, enrichment_error)
