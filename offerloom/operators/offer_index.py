@@ -12,6 +12,9 @@ A query's word counts where it is part of a word too, so words are first looked
 for in the vocabulary, which is far smaller than the offers. Names that are part
 of a query are found by their first characters. Nothing is lost: candidates are
 scored in full, and pairs that are no candidates can't reach the score.
+
+The index is of distinct texts, each with a number; offers meet their text last,
+so that queries are looked up and scored once for all offers of one text.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import CHUNK
 from ..functions.text import normalize_text, split_words, trim_ws
-from ..tables import written
-from .relevance import MIN_SCORE, _once, searchable_text
+from ..tables import small_or_whole, written
+from .relevance import MIN_SCORE, TEXTS, _once, distinct_texts, keyed, score_each, searchable_text
 
 #: Points of a query's words, of the fuzzy part, and of a name within the query.
 WORDS, FUZZY, WITHIN = 45.0, 15.0, 25.0
@@ -38,24 +41,27 @@ HOT_WORDS = 1000
 
 @dataclass
 class OfferIndex:
-    """``texts``: the offers with ``__offer``, their number, and ``__name``;
-    ``postings``: (v, __offer, blank) of each word of an offer, blank where its
-    name has no words; ``words``: (v, df)."""
+    """``offers``: the offers as they came; ``texts``: their distinct texts with
+    ``__offer``, a text's number, and ``__name``; ``postings``: (v, __offer, blank)
+    of each word of a text, blank where its name has no words; ``words``: (v, df)."""
 
+    offers: DataFrame
     texts: DataFrame
     postings: DataFrame
     words: DataFrame
 
 
 def build(offers: DataFrame) -> OfferIndex:
-    """Written tables, so that an index serves any number of searches."""
+    """Written tables, so that an index serves any number of searches; the offers
+    themselves are read again by each."""
     own = F.struct(normalize_text(F.coalesce("name", F.lit(""))).alias("name"), normalize_text(searchable_text()).alias("hay"))
-    texts = _once(offers, own, "__text").select(*offers.columns, F.col("__text.name").alias("__name"), F.array_distinct(F.split("__text.hay", " ")).alias("__words"))
+    plain = distinct_texts(keyed(offers))
+    texts = _once(plain, own, "__text").select(*plain.columns, F.col("__text.name").alias("__name"), F.array_distinct(F.split("__text.hay", " ")).alias("__words"))
     # written at once, so that the numbers stay
     texts = written(texts.withColumn("__offer", F.monotonically_increasing_id()), "offer-texts")
     postings = written(texts.select(F.explode("__words").alias("v"), "__offer", (F.col("__name") == "").alias("blank")), "postings")
     words = written(postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
-    return OfferIndex(texts.drop("__words"), postings, words)
+    return OfferIndex(offers, texts.drop("__words"), postings, words)
 
 
 def _pieces(text: Column, most: int) -> Column:
@@ -116,16 +122,34 @@ def _looked_up(probes: DataFrame, postings: DataFrame, only: Column | None = Non
     return (found if only is None else found.filter(only)).select("query", "__offer")
 
 
-def candidates(index: OfferIndex, asked: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
-    """Offers with ``query``, of every pair that can reach the score.
+def _pairs(index: OfferIndex, asked: DataFrame, min_score: int) -> DataFrame:
+    """(query, __offer) of every query and text that can reach the score.
 
     ``asked`` is (query, asked), one row for each query; a null or blank text has
     no offers. A text that normalises to nothing is part of every name, so all
-    offers answer it. Offers that repeat an id are each by themselves.
+    offers answer it.
     """
     some = asked.filter(F.coalesce(trim_ws(F.col("asked")), F.lit("")) != "")
     normal = _once(some, normalize_text(F.col("asked")), "normal")
     queries = written(normal.select("query", "normal", F.array_distinct(split_words(F.col("normal"))).alias("words")), "queries")
     by_word = _looked_up(_probes(index, queries, min_score), index.postings, F.col("rare") | F.col("blank"))
-    pairs = by_word.union(_within(index, queries)).distinct()
-    return pairs.join(index.texts, "__offer").drop("__offer", "__name")
+    return by_word.union(_within(index, queries)).distinct()
+
+
+def _of_offers(index: OfferIndex, told: DataFrame) -> DataFrame:
+    """The offers of each text in ``told`` (__offer, ...), with its other columns.
+    Offers that repeat an id are each by themselves."""
+    numbered = keyed(index.offers).join(small_or_whole(index.texts.select(*TEXTS, "__offer")), list(TEXTS)).drop(*TEXTS)
+    return numbered.join(small_or_whole(written(told, "told")), "__offer").drop("__offer")
+
+
+def candidates(index: OfferIndex, asked: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
+    """Offers with ``query``, of every pair that can reach the score."""
+    return _of_offers(index, _pairs(index, asked, min_score))
+
+
+def matches(index: OfferIndex, asked: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
+    """Offers with ``query`` and ``relevance_score``, of every pair that reaches it."""
+    pairs = _pairs(index, asked, min_score).join(index.texts, "__offer").join(asked.select("query", "asked"), "query")
+    scored = score_each(pairs).filter(F.col("relevance_score") >= min_score)
+    return _of_offers(index, scored.select("__offer", "query", "relevance_score"))
