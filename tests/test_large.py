@@ -10,7 +10,9 @@ from offerloom.functions import text
 from offerloom.operators import offer_index, relevance
 from offerloom.plans import many
 from offerloom.plans.search import search
+from offerloom.queries import QUERIES
 from offerloom.schema import SOURCES
+from offerloom.sources import payloads
 
 from .test_engine import frame, offer
 
@@ -66,3 +68,19 @@ def test_the_document_has_a_row_for_each_offer(spark):
     assert sum(told["count_by_source"].values()) == len(rows)
     none = search(frame(spark, rows), "qqqq zzzz")
     assert json.loads("\n".join(r.text for r in none.document().orderBy("line").collect()))["groups"] == []
+
+
+def test_pages_are_bounded_and_batches_small(spark, tmp_path, monkeypatch):
+    """Twice the parts make twice the pages, none longer, and all offers."""
+    small = "/root/testdata/sf0.001"
+    for t in ("part", "lineitem"):
+        key = "p_partkey" if t == "part" else "l_partkey"
+        df = spark.read.parquet(f"{small}/{t}.parquet")
+        df.union(df.withColumn(key, F.col(key) + 1000)).write.parquet(f"{tmp_path}/{t}.parquet")
+    seen, read = [], payloads.json_ld_offers
+    monkeypatch.setattr(payloads, "json_ld_offers", lambda pages, source: seen.append(pages) or read(pages, source))
+    n = [QUERIES["jsonld_walk"](spark, d).select("query", "id").distinct().count() for d in (small, str(tmp_path))]
+    longest = [p.agg(F.count("body"), F.max(F.length("body"))).first() for p in seen]
+    assert n[1] == 2 * n[0] == 2 * QUERIES["per_unit_price"](spark, small).count()
+    assert longest[1][0] == 2 * longest[0][0] and longest[1][1] <= longest[0][1] + 200
+    assert int(spark.conf.get(tables.BATCH)) == tables.BATCH_BYTES
