@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerloom import tables
 from offerloom.functions import text
-from offerloom.operators import offer_index, relevance
+from offerloom.operators import grouping, offer_index, relevance, standout
 from offerloom.plans import many
 from offerloom.plans.search import search
 from offerloom.queries import QUERIES
@@ -84,3 +84,30 @@ def test_pages_are_bounded_and_batches_small(spark, tmp_path, monkeypatch):
     assert n[1] == 2 * n[0] == 2 * QUERIES["per_unit_price"](spark, small).count()
     assert longest[1][0] == 2 * longest[0][0] and longest[1][1] <= longest[0][1] + 200
     assert int(spark.conf.get(tables.BATCH)) == tables.BATCH_BYTES
+
+
+def test_offers_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks become more and not larger as lines do, with the same rows, and a
+    reader of one attribute makes that one."""
+    from offerloom.sources import offers as made
+
+    small = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, QUERIES["group_best_source"](spark, small).collect()), key=repr)
+    monkeypatch.setattr(made, "LINES_A_TASK", 100)
+    every = made.offers(spark, small)
+    assert "REPARTITION_BY_NUM" in _plan(every)
+    assert "cast(struct" not in _plan(every.select("attributes.kind", "price_per_unit.value"))
+    assert sorted(map(tuple, QUERIES["group_best_source"](spark, small).collect()), key=repr) == want
+
+
+def test_candidates_alone_are_looked_up(spark):
+    """The same as candidates of what is in no group, also where an id repeats in one."""
+    rows = [offer(s, f"red tea {i}", 10 + i, ppu=10 + i, kind="tea", pack=(100, "g"), i=i, ident=f"{s}{i}") for i, s in enumerate(SOURCES)]
+    rows += [offer("dm", f"red tea big {i}", 1 + i, ppu=1 + i, kind="tea", pack=(300 + i, "g"), i=50 + i, ident=f"{'dm4' if i == 0 else 'big' + str(i)}") for i in range(5)]
+    every = frame(spark, rows)
+    groups = grouping.groups(every, "ord")
+    loose = grouping.ungrouped(every, grouping.members(every, groups, "ord"))
+    want = sorted((r.id, r.savings) for r in standout.candidates(loose, groups).collect())
+    got = sorted((r.id, r.savings) for r in standout.loose_candidates(every, groups, "ord").collect())
+    assert got == want and [i for i, _ in got] == ["big1", "big2", "big3", "big4"]
+    assert standout.best_of(standout.loose_candidates(every, groups, "ord"), "ord").first().id == "big1"
