@@ -111,3 +111,26 @@ def test_candidates_alone_are_looked_up(spark):
     got = sorted((r.id, r.savings) for r in standout.loose_candidates(every, groups, "ord").collect())
     assert got == want and [i for i, _ in got] == ["big1", "big2", "big3", "big4"]
     assert standout.best_of(standout.loose_candidates(every, groups, "ord"), "ord").first().id == "big1"
+
+
+def test_white_space_is_told_quickly_and_the_same(spark):
+    """By one range first, for every character, alone and in runs."""
+    every = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"{c}a {c}{c} b{c} {c}",) for c in every], "t string").repartition(4)
+    both = df.select(text.collapse_ws(F.col("t")).alias("c"), F.regexp_replace("t", f"{text.WS}+", " ").alias("d"), text.trim_ws(F.col("t")).alias("e"), F.regexp_replace("t", f"^{text.WS}+|{text.WS}+$", "").alias("f"))
+    assert both.filter("c <> d OR e <> f").collect() == [] and both.filter("e = 'a    b'").count() > 0
+
+
+def test_bodies_are_dealt_by_their_parts(spark, monkeypatch):
+    """Tasks become more as parts do, and what is searched for in a card or near
+    a link is searched for once."""
+    from offerloom import payload_queries
+
+    small = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, QUERIES["payload_fan_out"](spark, small).collect()))
+    monkeypatch.setattr(payload_queries, "PARTS_A_TASK", 50)
+    found = QUERIES["payload_fan_out"](spark, small)
+    assert "REPARTITION_BY_NUM" in _plan(found)
+    assert sorted(map(tuple, found.collect())) == want
+    pages = spark.createDataFrame([("q", 0, "")], "query string, page bigint, body string")
+    assert _plan(payloads.anchor_products(pages, "https://x", "")).count(payloads.IMAGE) <= 2
