@@ -37,7 +37,8 @@ class SearchResult:
 
     @cached_property
     def deal(self) -> DataFrame:
-        return written(standout.standout(self._loose if self.enrichment_error is None else self._loose.limit(0), self.groups), "deal")
+        found = self.found.filter(F.lit(self.enrichment_error is None))
+        return written(standout.best_of(standout.loose_candidates(found, self.groups)), "deal")
 
     @cached_property
     def ungrouped(self) -> DataFrame:
