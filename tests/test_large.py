@@ -100,6 +100,33 @@ def test_offers_are_dealt_by_their_number(spark, monkeypatch):
     assert sorted(map(tuple, QUERIES["group_best_source"](spark, small).collect()), key=repr) == want
 
 
+def test_groups_meet_in_as_many_tasks_as_their_lines_want(spark, monkeypatch):
+    """However few partitions the session's shuffles have, and those stay as they
+    were; and a reader of the confidence makes no attributes."""
+    from offerloom.sources import offers as made
+
+    small, names = "/root/testdata/sf0.001", ["group_summary", "group_best_source", "group_members_ranked", "ungrouped_anti"]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = {n: rows(QUERIES[n](spark, small)) for n in names}
+    wrote, written = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda *a, **k: wrote.append(written(*a, **k)) or wrote[-1])
+    monkeypatch.setattr("offerloom.queries.written", tables.written)
+    monkeypatch.setattr(made, "LINES_A_TASK", 100)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in names:
+            wrote.clear()
+            assert rows(QUERIES[n](spark, small)) == want[n]
+            assert wrote and all(len(df.inputFiles()) > 10 * int(before) for df in wrote), n
+            assert spark.conf.get(key) == before
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    kept = grouping.groups(made.offers(spark, small), "ord").select("match_confidence")
+    assert "min_by(attributes" not in _plan(kept)
+
+
 def test_candidates_alone_are_looked_up(spark):
     """The same as candidates of what is in no group, also where an id repeats in one."""
     rows = [offer(s, f"red tea {i}", 10 + i, ppu=10 + i, kind="tea", pack=(100, "g"), i=i, ident=f"{s}{i}") for i, s in enumerate(SOURCES)]
