@@ -2,6 +2,7 @@
 
 import json
 import unicodedata
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -127,6 +128,39 @@ def test_groups_meet_in_as_many_tasks_as_their_lines_want(spark, monkeypatch):
     assert "min_by(attributes" not in _plan(kept)
 
 
+def test_lines_are_read_in_as_many_splits_as_they_want(spark, tmp_path, monkeypatch):
+    """A task that reads holds its lines for the shuffle: where there are more of
+    them, tasks are more, and the session's splits stay as they were."""
+    from offerloom.sources import offers as made
+
+    small, d = "/root/testdata/sf0.001", str(tmp_path)
+    for t, keys in (("part", ["p_partkey"]), ("lineitem", ["l_partkey", "l_suppkey"])):
+        df = spark.read.parquet(f"{small}/{t}.parquet").coalesce(1)
+        for i in range(12):
+            df.withColumns({k: F.col(k) + 1000 * i for k in keys}).write.mode("append").parquet(f"{d}/{t}.parquet")
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    rows = lambda: sorted(map(tuple, QUERIES["group_best_source"](spark, d).collect()), key=repr)
+    want, read, shuffles = rows(), [], tables.shuffles
+
+    @contextmanager
+    def seen(*a):
+        with shuffles(*a):
+            each = made.table(spark, d, "lineitem").groupBy(F.spark_partition_id()).count()
+            read.append(each.agg(F.max("count")).first()[0])
+            yield
+
+    monkeypatch.setattr(tables, "shuffles", seen)
+    monkeypatch.setattr(made, "LINES_A_TASK", lines)
+    assert rows() == want and read == [lines]
+    assert spark.conf.get(tables.SPLITS, None) is None and spark.conf.get(tables.PARTITIONS) == "4"
+    spark.conf.unset(tables.PARTITIONS)
+    try:
+        with shuffles(spark, 20):
+            assert spark.conf.get(tables.PARTITIONS) == "200" and spark.conf.get(tables.SPLITS) == "20"
+    finally:
+        spark.conf.set(tables.PARTITIONS, "4")
+
+
 def test_candidates_alone_are_looked_up(spark):
     """The same as candidates of what is in no group, also where an id repeats in one."""
     rows = [offer(s, f"red tea {i}", 10 + i, ppu=10 + i, kind="tea", pack=(100, "g"), i=i, ident=f"{s}{i}") for i, s in enumerate(SOURCES)]
